@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.session import checkpointed
+
 # Letters that are drawn alike, each line as Latin, then Cyrillic, then Greek ("-": none).
 LOOKALIKES = """
 a а -
@@ -84,15 +86,29 @@ def _fold_table() -> dict[int, str]:
     return table
 
 
-FOLD = _fold_table()
+def _class_table() -> dict[int, str]:
+    """Every look-alike, with or without an accent, to its Latin class letter with the same accent."""
+    table = {}
+    for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(c))
+        if ord(parts[0]) in CLASS_OF:
+            table[c] = unicodedata.normalize("NFC", CLASS_OF[ord(parts[0])] + parts[1:])
+    return table
+
+
+FOLD, CLASSES = _fold_table(), _class_table()
 _IGNORABLE = re.compile(f"[{IGNORABLE}]")
 #: Joiners that shape what is displayed, between letters of joining or Indic scripts and within emoji; a
 #: soft hyphen at a line's end, which is displayed.
 _SHAPING = re.compile("(?<=[؀-ۿ܀-ݏऀ-෿က-႟ក-៿])[‌‍]+(?=[؀-ۿ܀-ݏऀ-෿က-႟ក-៿])|(?<=[←-⯿️\U0001f000-\U0001faff])‍(?=[←-⯿\U0001f000-\U0001faff])|­(?=[ \t]*(?:\r?\n|\x0c|$))")
+#: Anything but composed Latin letters, ideographs and common marks that no step below touches.
+_SPECIAL = re.compile("[^\x00-\x0c\x0e-\x7f°±²³½À-ıĴ-ňŊ-ž–—‘’“”•…™→≤≥∑✔、。一-鿿]")
 _ASCII_TOKEN = re.compile(r"[A-Za-z]+")
-_TOKEN = re.compile("(?:[^\\W\\d_][̀-ͯ]*)+")
-_OTHER_SCRIPT = re.compile("[Ͱ-ԯ]")
-_CYRILLIC, _GREEK, _LATIN = re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽ]"), re.compile("[A-Za-z]")
+_TOKEN = re.compile(r"[^\W\d_]+")
+_MARKED_TOKEN = re.compile("(?:[^\\W\\d_][̀-ͯ]*)+")
+_MARKS = re.compile("[̀-ͯ]")
+_OTHER_SCRIPT = re.compile("[Ͱ-ԯἀ-῿]")
+_CYRILLIC, _GREEK = re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽἀ-῿]")
 _PLAIN_LATIN = re.compile("[" + "".join(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in LATTICE) + "]")
 
 
@@ -105,20 +121,25 @@ def script_of(letter: str) -> int:
 
 
 def fold(text: str) -> str:
-    """Compatibility normalization and deletion of ignorable characters, decomposed.
+    """Compatibility normalization and deletion of ignorable characters, composed.
 
     Only changes that leave the displayed text as it is are made: super- and subscripts, fractions,
     circled letters and the like stay what they are.
     """
-    if text.isascii():
-        return text.replace("\r\n", "\n") if "\r" in text else text
+    if not _SPECIAL.search(text):
+        return text
     text = text.translate(FOLD)
     if _IGNORABLE.search(text):
-        kept = _SHAPING.sub(lambda m: m[0].translate({0x200C: "", 0x200D: "", 0xAD: ""}), text)
-        text = _IGNORABLE.sub("", kept).translate({0xE00C: "‌", 0xE00D: "‍", 0xE0AD: "-"})
+        kept = _SHAPING.sub(lambda m: m[0].translate({0x200C: "\ue00c", 0x200D: "\ue00d", 0xAD: "\ue0ad"}), text)
+        text = _IGNORABLE.sub("", kept).translate({0xE00C: "\u200c", 0xE00D: "\u200d", 0xE0AD: "-"})
     if "\r" in text:
         text = text.replace("\r\n", "\n")
-    return unicodedata.normalize("NFD", text)
+    return unicodedata.normalize("NFC", text)
+
+
+def pattern_of(text: str) -> re.Pattern[str]:
+    """The cheapest pattern for the words of a composed text."""
+    return _ASCII_TOKEN if text.isascii() else _MARKED_TOKEN if _MARKS.search(text) else _TOKEN
 
 
 class Model:
@@ -177,27 +198,32 @@ class Normalizer:
         counts = [len(_PLAIN_LATIN.findall(text)), len(_CYRILLIC.findall(text)), len(_GREEK.findall(text))]
         return counts.index(max(counts))
 
+    def form(self, token: str, script: int) -> str:
+        """The best path through the lattice of a word in class letters."""
+        parts = token if token.isascii() else unicodedata.normalize("NFD", token)
+        best = self.model.best(parts, script)
+        return best if best.isascii() else unicodedata.normalize("NFC", best)
+
     def __call__(self, text: str) -> str:
         text = fold(text)
-        ascii_only = text.isascii()
-        if not ascii_only:
-            text = text.translate(CLASS_OF)
-            ascii_only = text.isascii()
-        script = 0 if ascii_only else self.script(text)
-        pattern = _ASCII_TOKEN if ascii_only else _TOKEN
+        other = not text.isascii() and _OTHER_SCRIPT.search(text)
+        if other:
+            text = unicodedata.normalize("NFC", text.translate(CLASSES))
+        script = self.script(text) if other else 0
+        pattern = pattern_of(text)
         tokens = set(pattern.findall(text))
         known, changed = self.known[script], self.changed[script]
         if len(known) > self.BOUND:
             known.clear()
             changed.clear()
         for token in tokens - known:
-            form = self.model.best(token, script)
+            form = self.form(token, script)
             known.add(token)
             if form != token:
                 changed[token] = form
         if changed and not tokens.isdisjoint(changed):
             text = pattern.sub(lambda m: changed.get(m[0], m[0]), text)
-        return text if ascii_only and text.isascii() else unicodedata.normalize("NFC", text)
+        return text
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +232,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def drain() -> None:
         for token, n in tokens.items():
-            letters = [c for c in token if not "̀" <= c <= "ͯ"]
+            letters = [c for c in (token if token.isascii() else unicodedata.normalize("NFD", token)) if not "̀" <= c <= "ͯ"]
             scripts = {script_of(c) for c in letters}
             if len(scripts) == 1 and -1 not in scripts and all(c < "԰" for c in letters):
                 last = "^"
@@ -218,7 +244,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             text = fold(text)
-            tokens.update((_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text))
+            tokens.update(set(pattern_of(text).findall(text)))
         if len(tokens) > 200_000:
             drain()
     drain()
@@ -230,7 +256,7 @@ PAIR_BOUND = 750_000
 
 
 def train(df: DataFrame, text: str = "text") -> Model:
-    """Bigram counts of all words in one script, over all texts.
+    """Bigram counts of the words in one script, each word once a text, over all texts.
 
     The table is bounded by the alphabets (PAIR_BOUND), whatever the size of the corpus.
     """
@@ -280,7 +306,7 @@ def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     Classes all of whose texts are equal, and null, empty and blank texts, are left out.  A row that is
     repeated counts once.
     """
-    signs = normalize(df, key, text, digests=True).where(F.col("look").isNotNull())
+    signs = checkpointed(normalize(df, key, text, digests=True).where(F.col("look").isNotNull()))
     kinds = signs.groupBy("look", "characters").agg(F.count(F.lit(1)).alias("n"))
     mixed = kinds.groupBy("look").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("look")
     return signs.where(F.col(key).isNotNull()).join(mixed, "look", "left_semi").select(key, "look", "characters").distinct()
@@ -288,8 +314,6 @@ def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """Pairs of keys (``a`` < ``b``) whose texts differ in their characters but look the same."""
-    from foliospark.session import checkpointed
-
     members = checkpointed(lookalike_classes(df, key, text))
     left = members.select(F.col(key).alias(a), "look", F.col("characters").alias("ca"))
     right = members.select(F.col(key).alias(b), "look", F.col("characters").alias("cb"))
