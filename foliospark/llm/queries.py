@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chunks, lookalikes, topn
+from foliospark.llm import chunks, lookalikes, neighbours, topn
 from foliospark.session import table
 
 
@@ -28,6 +28,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_n(limited, ["scorer", "query_id"], "document_id", "score", "limit_of_scorer").select("scorer", "query_id", "place", "document_id")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents of which either is among the 5 most similar of the other, from a cosine of 0.80."""
+    return neighbours.similar_pairs(table(spark, sf, "doc_mean"), "document_id", "mean_embedding")
+
+
+def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """For every active token vector the 5 most similar token vectors of other pages."""
+    tokens = table(spark, sf, "doc_tok").where("coalesce(mask, true)").withColumn("token", F.concat_ws(":", "document_id", "pos"))
+    return neighbours.nearest(tokens, "token", "embedding", owner="document_id")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents that look the same in different characters."""
     return lookalikes.lookalike_pairs(table(spark, sf, "documents"))
@@ -39,7 +50,7 @@ def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p8_found, p8_normalized)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_tokens, p8_found, p8_normalized)
 }
 
 _SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
