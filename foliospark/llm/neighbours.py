@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.topn import top_n
 
-#: Hilbert orderings, projected dimensions and bits a dimension of each, and the rows of a key window.
-CURVES, DIMENSIONS, BITS, WINDOW = 8, 12, 4, 3072
-#: Rows that are compared with their window at once.
-BLOCK = 1024
+#: Range-partitioned Hilbert orderings; further orderings of the rows of each range; dimensions and bits a
+#: dimension of an ordering; rows of a key window.
+CURVES, TURNS, DIMENSIONS, BITS, WINDOW = 6, 2, 12, 4, 1024
+#: Rows that are compared with their window at once, and rows of a range that are held at once.
+BLOCK, RANGE_ROWS = 512, 131_072
 #: Bytes of the digest that stands for a vector: 96 bits.
 ID_BYTES = 12
 
@@ -120,96 +121,89 @@ def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
 
 
 class _Best:
-    """The k best neighbours of each row of a growing buffer."""
+    """The k best neighbours of each row, by row number."""
 
-    def __init__(self, k: int):
+    def __init__(self, rows: int, k: int):
         self.k = k
-        self.sims = np.zeros((0, k), np.float32)
-        self.ids = np.zeros((0, k), f"V{ID_BYTES}")
-
-    def grow(self, rows: int) -> None:
-        self.sims = np.concatenate([self.sims, np.full((rows, self.k), -2, np.float32)])
-        self.ids = np.concatenate([self.ids, np.zeros((rows, self.k), self.ids.dtype)])
-
-    def drop(self, rows: int) -> None:
-        self.sims, self.ids = self.sims[rows:], self.ids[rows:]
-
-    def merge(self, rows: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
-        """Offer each of ``rows`` some neighbours (columns of ``sims`` and ``ids``)."""
-        sims, ids = np.concatenate([self.sims[rows], sims], axis=1), np.concatenate([self.ids[rows], ids], axis=1)
+        self.sims, self.rows = np.full((rows, k), -2, np.float32), np.full((rows, k), -1, np.int32)
+
+    def offer(self, to: np.ndarray, found: np.ndarray, columns: np.ndarray, least: float) -> None:
+        """Offer the rows ``to`` the best of ``columns``, given their similarities, from ``least`` up."""
+        some = np.flatnonzero((found >= least).any(axis=1))
+        if not len(some):
+            return
+        part, to = found[some], to[some]
+        k = min(self.k, part.shape[1])
+        at = np.argpartition(-part, k - 1, axis=1)[:, :k] if k < part.shape[1] else np.tile(np.arange(k), (len(part), 1))
+        sims, rows = np.take_along_axis(part, at, 1), columns[at].astype(np.int32)
+        held = (rows[:, :, None] == self.rows[to][:, None, :]).any(axis=2)
+        sims = np.where((sims >= least) & ~held, sims, -2)
+        sims, rows = np.concatenate([self.sims[to], sims], axis=1), np.concatenate([self.rows[to], rows], axis=1)
         order = np.argsort(-sims, axis=1, kind="stable")[:, : self.k]
-        self.sims[rows], self.ids[rows] = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
-
-
-def offer(best: _Best, found: np.ndarray, first_row: int, ids: np.ndarray, least: float) -> None:
-    """Offer the rows of a similarity matrix their best columns of at least ``least``."""
-    some = np.flatnonzero((found >= least).any(axis=1))
-    if not len(some):
-        return
-    part = found[some]
-    k = min(best.k, part.shape[1])
-    columns = np.argpartition(-part, k - 1, axis=1)[:, :k] if k < part.shape[1] else np.tile(np.arange(k), (len(part), 1))
-    sims = np.take_along_axis(part, columns, 1)
-    best.merge(some + first_row, np.where(sims >= least, sims, -2), ids[columns])
-
-
-def _windows(k: int, least: float, window: int, width: int, exclude: bool):
-    """Compares every vector with those up to ``window`` places behind it along its curve, both ways."""
+        self.sims[to], self.rows[to] = np.take_along_axis(sims, order, 1), np.take_along_axis(rows, order, 1)
+
+
+def sweep(vectors: np.ndarray, owners: np.ndarray | None, order: np.ndarray, best: _Best, window: int, least: float) -> None:
+    """Compare every vector with those up to ``window`` places behind it in ``order``, both ways."""
+    vectors = vectors[order]
+    owners = None if owners is None else owners[order]
+    for start in range(0, len(order), BLOCK):
+        end = min(start + BLOCK, len(order))
+        far = min(end + window, len(order))
+        found = vectors[start:end] @ vectors[start:far].T
+        np.fill_diagonal(found, -2)
+        if owners is not None:
+            found[owners[start:end, None] == owners[None, start:far]] = -2
+        best.offer(order[start:end], found, order[start:far], least)
+        if far > end:
+            best.offer(order[end:far], np.ascontiguousarray(found[:, end - start :].T), order[start:end], least)
+
+
+def _windows(k: int, least: float, window: int, width: int, exclude: bool, turns: int, dims: int, bits: int, seed: int):
+    """Compares the vectors of a range within key windows, along its own curve and a few further ones."""
     packed_width = (width + width % 2) // 2 * 3
 
+    def compare(curve: int, ids: np.ndarray, packed: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+        fresh = np.concatenate(([True], ids[1:] != ids[:-1]))  # a vector that several tasks sent
+        ids, owners, vectors = ids[fresh], owners[fresh] if exclude else None, unsqueeze(packed[fresh])
+        best = _Best(len(ids), k)
+        sweep(vectors, owners, np.arange(len(ids)), best, window, least)
+        for turn in range(1, turns + 1):
+            keys = curve_keys(vectors[:, :width], 1000 * turn + curve, dims, bits, seed)
+            sweep(vectors, owners, np.argsort(keys, kind="stable"), best, window, least)
+        keep = best.sims >= least
+        count = keep.sum(axis=1)
+        some = np.flatnonzero(count)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(count[some]))), pa.int32())
+        near = ids[best.rows[keep]].view(np.uint8).reshape(-1, ID_BYTES)
+        inner = pa.StructArray.from_arrays([pa.array(best.sims[keep]), _fixed(near)], ["sim", "id"])
+        return pa.RecordBatch.from_arrays([_fixed(ids[some].view(np.uint8).reshape(-1, ID_BYTES)), pa.ListArray.from_arrays(offsets, inner)], ["id", "near"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve, ids, vectors, owners, best, done = None, np.zeros(0, f"V{ID_BYTES}"), np.zeros((0, width + width % 2), np.float32), np.zeros(0, np.int64), _Best(k), 0
-
-        def advance(ready: int) -> None:
-            """Compare the rows from ``done`` up to ``ready`` with themselves and the rows behind them."""
-            nonlocal done
-            while done < ready:
-                end = min(done + BLOCK, ready)
-                far = min(end + window, len(ids))
-                found = vectors[done:end] @ vectors[done:far].T
-                found[np.arange(end - done), np.arange(end - done)] = -2
-                if exclude:
-                    found[owners[done:end, None] == owners[None, done:far]] = -2
-                offer(best, found, done, ids[done:far], least)
-                if far > end:
-                    offer(best, np.ascontiguousarray(found[:, end - done :].T), end, ids[done:end], least)
-                done = end
-
-        def give(rows: int) -> pa.RecordBatch:
-            keep = best.sims[:rows] >= least
-            n = keep.sum(axis=1)
-            some = np.flatnonzero(n)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n[some]))), pa.int32())
-            inner = pa.StructArray.from_arrays([pa.array(best.sims[:rows][keep]), _fixed(best.ids[:rows][keep].view(np.uint8).reshape(-1, ID_BYTES))], ["sim", "id"])
-            return pa.RecordBatch.from_arrays([_fixed(ids[:rows][some].view(np.uint8).reshape(-1, ID_BYTES)), pa.ListArray.from_arrays(offsets, inner)], ["id", "near"])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        curve, size = -1, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if held:
+                yield compare(curve, *(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            size = 0
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             curves = batch.column(0).to_numpy(zero_copy_only=False)
-            new_ids = _bytes_of(batch.column(1), ID_BYTES).copy().view(f"V{ID_BYTES}").reshape(-1)
-            packed = _bytes_of(batch.column(2), packed_width)
-            new_owners = batch.column(3).to_numpy(zero_copy_only=False)
+            ids = _bytes_of(batch.column(1), ID_BYTES).copy().view(f"V{ID_BYTES}").reshape(-1)
+            packed, owners = _bytes_of(batch.column(2), packed_width).copy(), batch.column(3).to_numpy(zero_copy_only=False)
             for c in np.unique(curves):
-                at = np.flatnonzero(curves == c)
-                if c != curve:
-                    advance(len(ids))
-                    yield give(len(ids))
-                    curve, ids, vectors, owners, best, done = c, ids[:0], vectors[:0], owners[:0], _Best(k), 0
-                own = new_ids[at]
-                fresh = np.concatenate(([not len(ids) or own[0] != ids[-1]], own[1:] != own[:-1]))  # a vector that several tasks sent
-                at = at[fresh]
-                ids, owners = np.concatenate([ids, new_ids[at]]), np.concatenate([owners, new_owners[at]])
-                vectors = np.concatenate([vectors, unsqueeze(packed[at])]) if len(at) else vectors
-                best.grow(len(at))
-                if len(ids) - done > window + 4 * BLOCK:
-                    advance(len(ids) - window)
-                    over = done
-                    yield give(over)
-                    ids, vectors, owners, done = ids[over:], vectors[over:], owners[over:], 0
-                    best.drop(over)
-        advance(len(ids))
-        yield give(len(ids))
+                if c != curve or size >= RANGE_ROWS:
+                    yield from flush()
+                    curve = int(c)
+                at = curves == c
+                held.append((ids[at], packed[at], owners[at]))
+                size += int(at.sum())
+        yield from flush()
 
     return run
 
@@ -228,6 +222,7 @@ def nearest(
     width: int = 128,
     owner: str | None = None,
     curves: int = CURVES,
+    turns: int = TURNS,
     dims: int = DIMENSIONS,
     bits: int = BITS,
     window: int = WINDOW,
@@ -236,8 +231,9 @@ def nearest(
     """For every item its ``k`` most similar other items of cosine ``least`` or more: item, neighbour, place.
 
     Every vector is projected and placed on several shifted Hilbert curves.  The curves are range-partitioned
-    by key; within them each vector is compared with the ``window`` vectors on either side, and the best of
-    all curves are merged.  Similar vectors are close on some curve with a high probability, so a small share
+    by key; within a range each vector is compared with the ``window`` vectors on either side, along the
+    range's curve and along ``turns`` further curves over the rows of the range, which need no shuffle, and
+    the best of all are merged.  Similar vectors are close on some curve with a high probability, so a small share
     of neighbours is missed (see the README for the recall measured).  Vectors travel as 12-bit integers,
     which moves a cosine by some 0.0001 at most.
 
@@ -286,7 +282,7 @@ def nearest(
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.mapInArrow(place, "curve int, key bigint, id binary, packed binary, owner bigint")
     ordered = placed.repartitionByRange(partitions, "curve", "key").sortWithinPartitions("curve", "key", "id")
-    near = ordered.select("curve", "id", "packed", "owner").mapInArrow(_windows(k, least, window, width, owner is not None), "id binary, near array<struct<sim: float, id: binary>>")
+    near = ordered.select("curve", "id", "packed", "owner").mapInArrow(_windows(k, least, window, width, owner is not None, turns, dims, bits, seed), "id binary, near array<struct<sim: float, id: binary>>")
     pairs = near.repartition("id").select("id", F.explode("near").alias("n")).groupBy("id", F.col("n.id").alias("other")).agg(F.max("n.sim").alias("sim"))
     order = Window.partitionBy("id").orderBy(F.desc("sim"), F.desc("other"))
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
