@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -47,3 +48,15 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list[Row]:
     if len(rows) > bound:
         raise ValueError(f"{what} has more than {bound} rows; it is a parameter table of bounded size")
     return rows
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table under the shared checkpoint folder and read back.
+
+    Like a checkpoint it cuts the lineage and survives lost executors, but it is compressed, and later
+    plans prune its columns.  The folder is the caller's to clear, as with other checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
