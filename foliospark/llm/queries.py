@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chunks, lookalikes, neighbours, topn
+from foliospark.llm import chunks, lookalikes, neighbours, tokens, topn
 from foliospark.session import table
 
 
@@ -39,6 +39,17 @@ def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(tokens, "token", "embedding", owner="document_id")
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encode(table(spark, sf, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose ids decode to another text than theirs: none."""
+    ids = table(spark, sf, "documents").join(p6_ids(spark, sf), "doc_id")
+    return tokens.decode(ids, text="decoded").where("decoded <> coalesce(text, '')").select("doc_id", "decoded")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents that look the same in different characters."""
     return lookalikes.lookalike_pairs(table(spark, sf, "documents"))
@@ -50,7 +61,7 @@ def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_tokens, p8_found, p8_normalized)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_tokens, p6_ids, p6_decoded, p8_found, p8_normalized)
 }
 
 _SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
