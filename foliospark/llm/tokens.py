@@ -17,6 +17,8 @@ from foliospark.session import written
 TOKENIZERS = os.environ.get("FOLIOSPARK_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pattern that splits text before the merges; (?U) gives white space its Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same matches, the commonest alternatives first and without backtracking, for Java.
+JAVA_PATTERN = r"(?U) ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Words of a document that are handled in one row.
 SEGMENT = 1024
 #: Bytes from which a word is cut where no piece of the vocabulary can span the cut.
@@ -152,11 +154,11 @@ class Literals:
         return parts if kind == "string" else parts.cast(f"array<{kind}>")
 
 
-def word_id(word: Column, words: Column, ids: Column, shifts: Column) -> Column:
-    """The id of a word that is one piece of the vocabulary, else null."""
-    key = F.shiftrightunsigned(F.xxhash64(word), 1)
-    at = lambda k: ((k % F.lit(WORD_SLOTS) + F.get(shifts, (k % F.lit(WORD_SPREAD)).cast("int"))) % F.lit(WORD_SLOTS)).cast("int")
-    return let(at(key), lambda slot: F.when(F.get(words, slot) == word, F.get(ids, slot)))
+def known_ids(words: Column, pieces: Column, ids: Column, shifts: Column) -> Column:
+    """Of each word its id if it is one piece of the vocabulary, else null."""
+    key = lambda w: F.shiftrightunsigned(F.xxhash64(w), 1)
+    slots = F.transform(words, lambda w: ((key(w) % F.lit(WORD_SLOTS) + F.get(shifts, (key(w) % F.lit(WORD_SPREAD)).cast("int"))) % F.lit(WORD_SLOTS)).cast("int"))
+    return F.zip_with(words, slots, lambda w, slot: F.when(F.get(pieces, slot) == w, F.get(ids, slot)))
 
 
 def fold(ids: Column, ranks: Column, shifts: Column, merged: Column, size: int) -> Column:
@@ -226,18 +228,20 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     """
     spark = df.sparkSession
     tables = Literals(spark, path or f"{TOKENIZERS}/byte_bpe_50k.json")
-    words = F.coalesce(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    words = F.coalesce(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(JAVA_PATTERN), F.lit(0)), F.array().cast("array<string>"))
     segments = F.transform(
         F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / F.lit(SEGMENT)).cast("int")),
         lambda s: F.slice("words", s * SEGMENT + 1, F.lit(SEGMENT)),
     )
-    known = let(tables("words"), lambda w: let(tables("word_ids"), lambda i: let(tables("word_shifts"), lambda s: F.transform(F.col("words"), lambda x: word_id(x, w, i, s)))))
+    known = let(tables("words"), lambda w: let(tables("word_ids"), lambda i: let(tables("word_shifts"), lambda s: known_ids(F.col("words"), w, i, s))))
+    unknown = lambda ids: F.array_distinct(F.filter("words", lambda w, i: F.get(ids, i).isNull()))
+    coded = lambda ids, rest: F.transform("words", lambda w, i: F.coalesce(F.get(ids, i), -F.array_position(rest, w).cast("int")))
+    split = let(known, lambda ids: let(unknown(ids), lambda rest: F.struct(rest.alias("open"), coded(ids, rest).alias("codes"))))
     found = (
         df.select(F.col(f"`{key}`").alias("key"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
         .select("row", "key", F.posexplode(segments).alias("segment", "words"))
-        .withColumn("known", known)
-        .withColumn("open", F.array_distinct(F.filter("words", lambda w, i: F.get("known", i).isNull())))
-        .select("row", "key", "segment", "open", F.transform("words", lambda w, i: F.coalesce(F.get("known", i), -F.array_position("open", w).cast("int"))).alias("codes"))
+        .select("row", "key", "segment", split.alias("split"))
+        .select("row", "key", "segment", "split.open", "split.codes")
     )
     found = written(found)
     rest = found.select("row", "segment", F.posexplode("open").alias("at", "word"))
@@ -248,7 +252,7 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     segment = both.groupBy("row", "segment").agg(
         F.max("key").alias("key"), F.max("codes").alias("codes"), F.transform(F.array_sort(F.collect_list("word")), lambda w: w["piece_ids"]).alias("own")
     )
-    ids_of = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get("own", -c - 1))))
+    ids_of = let(F.col("own"), lambda own: F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(own, -c - 1)))))
     whole = segment.select("row", "key", F.struct("segment", ids_of.alias("ids")).alias("part")).groupBy("row").agg(F.max("key").alias("key"), F.collect_list("part").alias("parts"))
     return whole.select(F.col("key").alias(key), F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias(ids))
 
