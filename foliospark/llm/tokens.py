@@ -25,8 +25,8 @@ SEGMENT = 1024
 LONG = 24
 #: Two primes whose product exceeds every pair of ids, as a key; the first is the size of the rank table.
 SLOTS, SPREAD = 131_071, 19_997
-#: The same for the words of the vocabulary.
-WORD_SLOTS, WORD_SPREAD = 131_071, 32_749
+#: Slots of the table of whole words, a power of two.
+WORD_SLOTS = 131_072
 
 
 class Vocabulary:
@@ -106,25 +106,22 @@ def _tables(path: str) -> dict[str, tuple[list, str]]:
     merged = [new for _, new in sorted(v.ranks.values())]
     spans = {x for piece in v.id_of for x in zip(piece, piece[1:])}
     cuts = [int((a, b) not in spans) for a in range(256) for b in range(256)]
-    words: dict[int, int] = {}
-    for piece, i in v.id_of.items():
-        try:
-            piece.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if v.encode_word(piece) == [i]:
-            words[xxhash.xxh64_intdigest(piece, seed=42) >> 1] = i
-    word_ids, word_shifts = perfect_table(words, WORD_SLOTS, WORD_SPREAD)
-    texts = [None if i is None else v.piece_of[i].decode("utf-8") for i in word_ids]
+    words: list[str | None] = [None] * WORD_SLOTS
+    ids = [-1] * WORD_SLOTS
+    for i, piece in sorted(v.piece_of.items()):
+        # A later word whose two slots are taken is left to the fold, which gives the same.
+        sign = xxhash.xxh64_intdigest(piece, seed=42)
+        slot = next((x for x in (sign % WORD_SLOTS, sign // WORD_SLOTS % WORD_SLOTS) if words[x] is None), None)
+        if slot is not None and piece.decode("utf-8", "ignore").encode() == piece and v.encode_word(piece) == [i]:
+            words[slot], ids[slot] = piece.decode("utf-8"), i
     return {
         "ranks": ([0 if r is None else r for r in ranks], "bigint"),
         "shifts": (shifts, "int"),
         "merged": (merged, "int"),
         "first": (v.first, "int"),
         "cuts": (cuts, "int"),
-        "words": (texts, "string"),
-        "word_ids": ([-1 if i is None else i for i in word_ids], "int"),
-        "word_shifts": (word_shifts, "int"),
+        "words": (words, "string"),
+        "word_ids": (ids, "int"),
     }
 
 
@@ -154,11 +151,12 @@ class Literals:
         return parts if kind == "string" else parts.cast(f"array<{kind}>")
 
 
-def known_ids(words: Column, pieces: Column, ids: Column, shifts: Column) -> Column:
-    """Of each word its id if it is one piece of the vocabulary, else null."""
-    key = lambda w: F.shiftrightunsigned(F.xxhash64(w), 1)
-    slots = F.transform(words, lambda w: ((key(w) % F.lit(WORD_SLOTS) + F.get(shifts, (key(w) % F.lit(WORD_SPREAD)).cast("int"))) % F.lit(WORD_SLOTS)).cast("int"))
-    return F.zip_with(words, slots, lambda w, slot: F.when(F.get(pieces, slot) == w, F.get(ids, slot)))
+def known_ids(words: Column, pieces: Column, ids: Column) -> Column:
+    """Of each word its id if it is found to be one piece of the vocabulary, else null."""
+    sign = F.xxhash64
+    slot = lambda h: h.bitwiseAND(F.lit(WORD_SLOTS - 1)).cast("int")
+    one, other = lambda w: slot(sign(w)), lambda w: slot(F.shiftrightunsigned(sign(w), 17))
+    return F.transform(words, lambda w: F.when(F.get(pieces, one(w)) == w, F.get(ids, one(w))).when(F.get(pieces, other(w)) == w, F.get(ids, other(w))))
 
 
 def fold(ids: Column, ranks: Column, shifts: Column, merged: Column, size: int) -> Column:
@@ -233,9 +231,9 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
         F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / F.lit(SEGMENT)).cast("int")),
         lambda s: F.slice("words", s * SEGMENT + 1, F.lit(SEGMENT)),
     )
-    known = let(tables("words"), lambda w: let(tables("word_ids"), lambda i: let(tables("word_shifts"), lambda s: known_ids(F.col("words"), w, i, s))))
+    known = let(tables("words"), lambda w: let(tables("word_ids"), lambda i: known_ids(F.col("words"), w, i)))
     unknown = lambda ids: F.array_distinct(F.filter("words", lambda w, i: F.get(ids, i).isNull()))
-    coded = lambda ids, rest: F.transform("words", lambda w, i: F.coalesce(F.get(ids, i), -F.array_position(rest, w).cast("int")))
+    coded = lambda ids, rest: F.zip_with("words", ids, lambda w, i: F.coalesce(i, -F.array_position(rest, w).cast("int")))
     split = let(known, lambda ids: let(unknown(ids), lambda rest: F.struct(rest.alias("open"), coded(ids, rest).alias("codes"))))
     found = (
         df.select(F.col(f"`{key}`").alias("key"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
@@ -250,11 +248,11 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     plain = found.select("row", "key", "segment", "codes", F.lit(None).cast(filled.schema["word"].dataType).alias("word"))
     both = plain.unionByName(filled).repartition("row")
     segment = both.groupBy("row", "segment").agg(
-        F.max("key").alias("key"), F.max("codes").alias("codes"), F.transform(F.array_sort(F.collect_list("word")), lambda w: w["piece_ids"]).alias("own")
+        F.max("key").alias("key"), F.max("codes").alias("codes"), F.transform(F.sort_array(F.collect_list("word")), lambda w: w["piece_ids"]).alias("own")
     )
     ids_of = let(F.col("own"), lambda own: F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(own, -c - 1)))))
     whole = segment.select("row", "key", F.struct("segment", ids_of.alias("ids")).alias("part")).groupBy("row").agg(F.max("key").alias("key"), F.collect_list("part").alias("parts"))
-    return whole.select(F.col("key").alias(key), F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias(ids))
+    return whole.select(F.col("key").alias(key), F.flatten(F.transform(F.sort_array("parts"), lambda p: p["ids"])).alias(ids))
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
