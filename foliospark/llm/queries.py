@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chunks, lookalikes, neighbours, tokens, topn
+from foliospark.llm import chunks, lookalikes, mixture, neighbours, sampling, tokens, topn
 from foliospark.session import table
 
 
@@ -39,6 +39,25 @@ def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(tokens, "token", "embedding", owner="document_id")
 
 
+def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries and page ids selected for every specification."""
+    specs = table(spark, sf, "selection_specs")
+    texts = table(spark, sf, "queries").where(F.trim("query") != "")
+    asked = sampling.stable_sample(texts, "task", "query-id", F.lit(1), sampling.wanted_of(specs, "queries_per_task"), "query", first_part=1.0)
+    pages = sampling.stable_sample(table(spark, sf, "image_documents"), "task", "document_id", F.col("batch_no"), sampling.wanted_of(specs, "documents_per_task"), "document")
+    return asked.unionByName(pages).withColumnRenamed("stratum", "task").withColumnRenamed("item", "id")
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of all sources, repeated to their target shares."""
+    return mixture.mix(table(spark, sf, "documents"), mixture.weights_of(table(spark, sf, "source_weights")))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixture.shares(p7_mixture(spark, sf).drop("text"), mixture.weights_of(table(spark, sf, "source_weights")))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode(table(spark, sf, "documents"))
@@ -61,7 +80,7 @@ def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_tokens, p6_ids, p6_decoded, p8_found, p8_normalized)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_tokens, p5_sample, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_normalized)
 }
 
 _SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
