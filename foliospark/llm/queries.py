@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chunks, lookalikes, mixture, neighbours, sampling, tokens, topn
+from foliospark.llm import chunks, lookalikes, mixture, neighbours, sampling, scans, tokens, topn
 from foliospark.session import table
 
 
@@ -28,6 +28,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_n(limited, ["scorer", "query_id"], "document_id", "score", "limit_of_scorer").select("scorer", "query_id", "place", "document_id")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The kinds of scanning noise in every document."""
+    return scans.find_noise(table(spark, sf, "documents"))
+
+
+def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as continuous paragraphs."""
+    return scans.repair(table(spark, sf, "documents"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents of which either is among the 5 most similar of the other, from a cosine of 0.80."""
     return neighbours.similar_pairs(table(spark, sf, "doc_mean"), "document_id", "mean_embedding")
@@ -80,7 +90,7 @@ def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_tokens, p5_sample, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_normalized)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_repaired, p4_found, p4_tokens, p5_sample, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_normalized)
 }
 
 _SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
