@@ -18,7 +18,7 @@ from foliospark.session import written
 
 # What a scanner reads (first) for what is printed, in the form that look-alikes share.
 MISREADINGS = """
-c e  o a  ! i  f t  ri n  5 s  0 o  1 l  1 i  ii u  cl d  rn m  b h  ( c  9 g  v y  6 b  8 b  vv w
+c e  o a  ! i  f t  ri n  5 s  0 o  1 l  1 i  ii u  ii ü  cl d  rn m  b h  ( c  9 g  v y  6 b  8 b  vv w
 6 é  6 ó  6 o  6 б  l i  i l  m in  m rn  h li  3 з  8 в  0 о
 п и  п л  п н  п η  г т  г τ  σ α  σ o  n π  1 ι  v ν  υ v  ь ы
 """
@@ -32,11 +32,14 @@ for _noisy, _clean in _PAIRS:
 #: Words of the lexicon: the commonest of the corpus. The bound makes it fit for broadcasting at any scale.
 LEXICON_WORDS = 60_000
 #: Words of the lexicon that the editor is trained on, and passes over them.
-TRAINING_WORDS, PASSES = 3_000, 4
+TRAINING_WORDS, PASSES = 3_000, 8
 
 HYPHENS = "-‐¬­="
-_BROKEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*\n[\s\x0c]*(?=[^\W\d_])")
-_WORD = re.compile(r"(?:(?<=\s)[(!](?=[a-zß-öø-ÿα-ώа-я]))?[^\W_](?:[^\W_]|[!(](?=[^\W\d_]))*")
+_BROKEN = re.compile(rf"[{HYPHENS}](?<=[^\W\d_].)[ \t]*\n[\s\x0c]*(?=[^\W\d_])")
+_LINE_MARK = re.compile(rf"[{HYPHENS}][ \t\r]*[\n\x0c]")
+_WORD = re.compile(r"[^\W_]+(?:[!(](?=[^\W\d_])[^\W_]+)*")
+_OPEN_WORD = re.compile(r"(?<=\s)[(!](?=[a-zß-öø-ÿα-ώа-я])[^\W_]+(?:[!(](?=[^\W\d_])[^\W_]+)*")
+_OPEN = re.compile(r"\s[(!][a-zß-öø-ÿα-ώа-я]")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _ODD = re.compile(r"[0-9!(]")
 _CODE = re.compile(r"[A-Z0-9]+|\d+[a-z]{0,3}|[a-z]{1,3}\d+")
@@ -49,9 +52,20 @@ def canonical(text: str) -> str:
 
 
 def words_of(text: str) -> set[str]:
-    """The distinct words of a canonical text, broken ones joined, in lower case; digits alone and codes left out."""
-    joined = _BROKEN.sub("", text)
-    return {w.lower() for w in set(_WORD.findall(joined)) if not _CODE.fullmatch(w)}
+    """The distinct words of a canonical text as they stand, broken ones joined."""
+    if _LINE_MARK.search(text):
+        text = _BROKEN.sub("", text)
+    words = set(_WORD.findall(text))
+    if _OPEN.search(text):
+        words.update(_OPEN_WORD.findall(text))
+    return words
+
+
+def plain(word: str) -> str | None:
+    """A word as the lexicon has it, in lower case; None for numbers, codes and very long words."""
+    if len(word) > 40 or _CODE.fullmatch(word):
+        return None
+    return word.lower()
 
 
 def _bucket(count: float) -> int:
@@ -106,8 +120,10 @@ class Editor:
         known = 0 if result == hidden else self.count(result)
         odd = bool(_ODD.search(word))
         if not edits:
-            return [("keep",), ("keep", min(_bucket(count), 6)), ("keep odd", odd), ("keep long", odd, min(len(word), 6))]
-        out: list[tuple] = [("edits", len(edits)), ("result", min(_bucket(known), 8)), ("ratio", min(int(math.log10((known + 1) / (count + 1)) * 2), 8)), ("long", min(len(word), 8), known > 0)]
+            return [("keep",), ("keep odd", odd), ("keep long", odd, min(len(word), 6)), *(("keep from", k) for k in range(min(_bucket(count), 10)))]
+        ratio = math.log10((known + 1) / (count + 1))
+        out: list[tuple] = [("edits", len(edits), min(len(word), 8), known > 0), *(("result from", k) for k in range(min(_bucket(known), 12)))]
+        out += [("ratio from", k) for k in range(9) if ratio >= k / 3]
         for at, noisy, clean in edits:
             before, after = word[at - 1 : at], word[at + len(noisy) : at + len(noisy) + 1]
             kind = "replace" if len(noisy) == len(clean) else "delete" if len(noisy) > len(clean) else "insert"
@@ -123,9 +139,8 @@ class Editor:
 
     def __call__(self, word: str) -> str:
         """The word as printed."""
-        if word[0] in "(!" and self.count(word[1:]):
-            return word
-        return self.best(word, max(self.count(word), self.floor))[0]
+        said = self.best(word, max(self.count(word), self.floor))[0]
+        return word if word[0] in "(!" and self.count(word[1:]) >= self.count(said) else said
 
     def train(self, size: int = TRAINING_WORDS, passes: int = PASSES) -> Editor:
         """Averaged perceptron on words of the lexicon, misread by the table, and the same words left alone.
@@ -135,7 +150,9 @@ class Editor:
         trained on, so that names and rare words are kept unless digits or marks give them away.
         """
         key = lambda w: hashlib.md5(w.encode()).digest()
-        plain = sorted((w for w, n in self.lexicon.items() if n >= 20 and w.isalpha() and len(w) > 2), key=key)[:size]
+        # Words that a misreading of a far commoner word would explain can't serve as good ones.
+        sound = lambda w, n: not any(self.count(r) > 10 * n for r, _ in self.edits(w))
+        plain = sorted((w for w, n in self.lexicon.items() if n >= 20 and w.isalpha() and len(w) > 2 and sound(w, n)), key=key)[:size]
         mixed = sorted((w for w in self.lexicon if _ODD.search(w) and not self._looks_misread(w)), key=key)[:size]
         samples: list[tuple[str, int, str, str | None]] = [(w, self.count(w), w, None) for w in mixed]
         for w in plain:
@@ -148,7 +165,7 @@ class Editor:
                     i, c, noisy = places[(seed >> (8 * turn)) % len(places)]
                     misread = w[:i] + noisy + w[i + len(c) :]
                     if self.count(misread) < n * 0.05:
-                        samples.append((misread, max(1, int(n * 0.004)), w, None))
+                        samples.append((misread, max(1, int(n * (0.002, 0.01, 0.03)[seed % 3])), w, None))
                         if noisy in "0156893!(":
                             samples.append((misread, 1, w, w))
                         else:
@@ -185,24 +202,23 @@ _AFTER = re.compile(rf"(.+?)(?: {{2,}}|\t+| \| )({_NUMBER}|\d{{1,4}}|(?=[mdclxvi
 _PARTS = re.compile(r" {2,}|\t+| \| ")
 _CELL = re.compile(r"\.{3,}| : |:$|^\W*$")
 _ENDED = re.compile(r"[.!?;:…。！？][\"')\]”’»]*$")
-_SENTENCE = re.compile(r"[,;:!?] |(?<!\bVol)(?<!\bNo)(?<!Bros)(?<!BROS)(?<!bros)\. ")
+_DIGIT = re.compile(r"\d")
+_SENTENCE = re.compile(r"(?<!\bVol)(?<!\bNo)(?<!Bros)(?<!BROS)(?<!bros)\. ")
 _OPENER = re.compile(r"[#*•→>·▪(\[{]|[-–—] ")
 
 
 def head_parts(line: str) -> list[str]:
     """What identifies a running head: its parts' words in lower case; none if the line can't be one."""
-    if len(line) > 120 or _OPENER.match(line) or _CELL.search(line):
+    if not (line[0].isupper() or line[0].isdigit()) or len(line) > 120 or ", " in line or ": " in line or "; " in line or " : " in line or "..." in line:
         return []
-    parts = [p for p in _PARTS.split(line) if p]
-    first = line[0]
-    if not (first.isupper() or first.isdigit()) or (_ENDED.search(line) and not line.lower().endswith("bros.")):
+    if line[-1] in ".!?;:…。！？,-" and not line.lower().endswith("bros.") or len(_DIGIT.findall(line)) > 4:
         return []
-    words = [p.split() for p in parts]
-    if not any(len(w) > 1 and sum(c.isalpha() for x in w for c in x) > 3 for w in words) or any(len(w) == 1 for w in words) and len(parts) > 2:
+    if ". " in line and _SENTENCE.search(line) or "! " in line or "? " in line:
         return []
-    if sum(c.isdigit() for c in line) > 4 or _SENTENCE.search(line):
+    parts = [p.split() for p in _PARTS.split(line) if p] if "  " in line or "\t" in line or " | " in line else [line.split()]
+    if not any(len(w) > 1 and sum(map(len, w)) > 5 for w in parts) or len(parts) > 2 and any(len(w) == 1 for w in parts):
         return []
-    return [" ".join(w).lower() for w in words if len(w) > 1]
+    return [" ".join(w).lower() for w in parts if len(w) > 1]
 
 
 @dataclass
@@ -245,7 +261,7 @@ def furniture(text: str) -> list[Line]:
         number = rest = None
         if c in "-–—[pmdclxvi0123456789PSΣС" and (m := _BEFORE.fullmatch(line)):
             number, rest = m[1], m[2]
-        elif m := _AFTER.fullmatch(line):
+        elif ("  " in line or "\t" in line or " | " in line) and (m := _AFTER.fullmatch(line)):
             rest, number = m[1], m[2]
         parts = head_parts((rest or line).strip())
         if not parts:
@@ -350,14 +366,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return out
 
+    def fold_case() -> None:
+        for word, n in raw.items():
+            w = plain(word)
+            if w:
+                counts[w] += n
+        raw.clear()
+
+    raw: Counter[str] = Counter()
     for batch in batches:
         for value in batch.column(0).to_pylist():
             text = canonical(value)
-            counts.update(w for w in words_of(text) if len(w) <= 40)
+            raw.update(words_of(text))
             if "-" in text:
-                counts.update({c.lower() for c in _COMPOUND.findall(text) if len(c) <= 40})
-        if len(counts) > 300_000:
+                counts.update({c.lower() for part in text.split() if "-" in part for c in _COMPOUND.findall(part) if len(c) <= 40})
+        if len(raw) > 300_000:
+            fold_case()
             yield give()
+    fold_case()
     yield give()
 
 
@@ -376,24 +402,28 @@ def train(df: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> Edit
 class Reader:
     """Finds the noise of a text with a trained editor; decisions on words are kept, up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 600_000
 
     def __init__(self, editor: Editor):
         self.editor = editor
-        self.said: dict[str, str] = {}
-        self.good = {w for w, n in editor.lexicon.items() if n >= 5 and w.isalpha() and not any(editor.count(r) > 20 * n for r, _ in editor.edits(w))}
+        self.clean: set[str] = set()
+        self.wrong: dict[str, str] = {}
 
     def misread(self, text: str) -> dict[str, str]:
-        """The misread words of a canonical text and what was printed."""
-        out = {}
-        for w in words_of(text) - self.good:
-            if w not in self.said:
-                if len(self.said) > self.BOUND:
-                    self.said.clear()
-                self.said[w] = w if len(w) < 3 or len(w) > 40 else self.editor(w)
-            if self.said[w] != w:
-                out[w] = self.said[w]
-        return out
+        """The misread words of a canonical text, as they stand, and what was printed, in lower case."""
+        words = words_of(text)
+        if len(self.clean) > self.BOUND:
+            self.clean.clear()
+        for word in words - self.clean:
+            if word in self.wrong:
+                continue
+            w = plain(word)
+            said = w if w is None or len(w) < 3 else self.editor(w)
+            if said == w:
+                self.clean.add(word)
+            else:
+                self.wrong[word] = said
+        return {w: self.wrong[w] for w in words.intersection(self.wrong)} if self.wrong else {}
 
     def noise(self, text: str) -> tuple[list[str], list[tuple[str, float]]]:
         """Kinds of noise that the text itself shows, and its possible running heads with their scores."""
@@ -401,7 +431,7 @@ class Reader:
         lines = furniture(text)
         kinds = set()
         skip = {x.at for x in lines if x.score >= SURE or x.alone and x.score >= 2}
-        if any(m in text for m in HYPHENS) and any(b[-1] for b in breaks(text.replace("\x0c", "\n\x0c\n"), self.editor.lexicon, skip)):
+        if _LINE_MARK.search(text) and any(b[-1] for b in breaks(text.replace("\x0c", "\n\x0c\n"), self.editor.lexicon, skip)):
             kinds.add("hyphen")
         heads: dict[str, float] = {}
         for x in lines:
@@ -499,13 +529,13 @@ def repaired_text(text: str, reader: Reader, heads: set[str]) -> str:
     if fixes:
 
         def fix(m: re.Match[str]) -> str:
-            right = fixes.get(canonical(m[0]).lower())
+            right = fixes.get(canonical(m[0]))
             if right is None:
                 return m[0]
             letters = [c for c in m[0] if c.isalpha()]
             return right.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else right.capitalize() if m[0][0].isupper() or (m[0][0] in "0156893" and m[0][1:2].isupper()) else right
 
-        whole = _WORD.sub(fix, whole)
+        whole = _OPEN_WORD.sub(fix, _WORD.sub(fix, whole)) if _OPEN.search(whole) else _WORD.sub(fix, whole)
     return whole
 
 
