@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The prompt around a query.
 PROMPT_HEAD, PROMPT_MARK, PROMPT_MARKS = "Question: ", "<unused0>", 5
@@ -20,7 +21,7 @@ def tokens_of(text: str) -> list[str]:
     return _RUN.findall(unicodedata.normalize("NFKC", text).casefold())
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Tokens of a text in full Unicode; null for null."""
     for batch in batches:
@@ -55,8 +56,8 @@ def check_windows(max_words: int, overlap: int) -> None:
         raise ValueError("windows need 0 <= overlap < max_words")
 
 
-def chunk_windows(df: DataFrame, text: str, max_words: int = 256, overlap: int = 32, chunk: str = "chunk") -> DataFrame:
-    """``df`` with a row for each window of words: ``chunk`` (from 0) and ``words``.
+def chunk_windows(df: DataFrame, text: str, max_words: int = 256, overlap: int = 32, chunk: str = "chunk", chunks: str | None = None) -> DataFrame:
+    """``df`` with a row for each window of words: ``chunk`` (from 0), ``words`` and, if named, the number of chunks.
 
     Windows step by ``max_words - overlap`` and the last one ends the text.  A blank text has one window
     without words; a null text none.
@@ -66,7 +67,8 @@ def chunk_windows(df: DataFrame, text: str, max_words: int = 256, overlap: int =
     split = df.where(F.col(text).isNotNull()).withColumn("words_", words(F.col(text)))
     last = F.greatest(F.lit(0), F.ceil((F.size("words_") - max_words) / F.lit(step))).cast("int")
     at = split.withColumn(chunk, F.explode(F.sequence(F.lit(0), last)))
-    return at.withColumn("words", F.slice("words_", F.col(chunk) * step + 1, F.lit(max_words))).drop("words_")
+    at = at.withColumn("words", F.slice("words_", F.col(chunk) * step + 1, F.lit(max_words)))
+    return (at.withColumn(chunks, last + 1) if chunks else at).drop("words_")
 
 
 def prompt(query: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.numeric import safe_divide
 from foliospark.functions.text import chunk_windows, tokenize, tokenize_plain
+from foliospark.session import spread, written
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ class Parameters:
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, document_id, chunk, tf), chunks (document_id, chunk, length), terms (term, df, idf) and totals (n, average)."""
+    """postings (term, document_id, chunk, tf and the chunk's length and its page's chunks), chunks (document_id, chunk, length), terms (term, df, idf), totals (n, average)."""
 
     postings: DataFrame
     chunks: DataFrame
@@ -52,14 +53,17 @@ def build(documents: DataFrame, max_words: int = 256, overlap: int = 32, paramet
     """The index of documents (document_id, text).
 
     A blank page is one chunk without terms; a null text has no chunk.  Windows come from the raw words and
-    are tokenized afterwards; ``plain`` keeps tokenizing to built-in functions.  Inverse frequencies are over
+    are tokenized afterwards; ``plain`` keeps tokenizing to built-in functions.  Tokens and postings are
+    written once to the shared folder, as an index is, and everything else is read from them.  Inverse frequencies are over
     chunks, and a negative one is replaced by ``epsilon`` times the mean of all.
     """
-    windows = chunk_windows(documents.select("document_id", "text"), "text", max_words, overlap)
+    windows = chunk_windows(spread(documents.select("document_id", "text")), "text", max_words, overlap, chunks="chunks")
     joined = F.array_join("words", " ")
-    chunks = windows.select("document_id", "chunk", (tokenize_plain(joined) if plain else tokenize(joined)).alias("tokens"))
-    postings = chunks.select("document_id", "chunk", F.explode("tokens").alias("term")).groupBy("term", "document_id", "chunk").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = chunks.select("document_id", "chunk", F.size("tokens").alias("length"))
+    tokens = windows.select("document_id", "chunk", "chunks", (tokenize_plain(joined) if plain else tokenize(joined)).alias("tokens"))
+    base = written(tokens.withColumn("length", F.size("tokens")))
+    lengths = base.select("document_id", "chunk", "length")
+    keys = ["term", "document_id", "chunk", "chunks", "length"]
+    postings = written(base.select(F.explode("tokens").alias("term"), *keys[1:]).groupBy(*keys).agg(F.count(F.lit(1)).alias("tf")))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = totals.select("n").scalar()
@@ -79,11 +83,12 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     p = index.parameters
     asked = queries.where("query_id is not null and text is not null").select("query_id", F.explode(index.tokens(F.col("text"))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(index.terms, "term")
-    found = asked.join(index.postings, "term").join(index.chunks, ["document_id", "chunk"])
+    found = index.postings.join(asked, "term")
     weight = F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("length") / index.totals.select("average").scalar())
     part = F.col("times") * F.col("idf") * safe_divide(F.col("tf") * F.lit(p.k1 + 1), F.col("tf") + weight)
-    by_chunk = found.groupBy("query_id", "document_id", "chunk").agg(F.sum(part).alias("score"))
-    pages = index.chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
-    best = by_chunk.groupBy("query_id", "document_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("matching")).join(pages, "document_id")
+    # One shuffle by page serves both sums: a page's chunks are summed where its best one is found.
+    by_page = found.select("query_id", "document_id", "chunk", "chunks", part.alias("part")).repartition("query_id", "document_id")
+    by_chunk = by_page.groupBy("query_id", "document_id", "chunk", "chunks").agg(F.sum("part").alias("score"))
+    best = by_chunk.groupBy("query_id", "document_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("matching"), F.max("chunks").alias("chunks"))
     score = F.when(F.col("matching") < F.col("chunks"), F.greatest("score", F.lit(0.0))).otherwise(F.col("score"))
     return best.select("query_id", "document_id", score.alias("score"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators import bm25, metrics, ranking
+from foliospark.session import written
 
 
 class RetrievalIndex(Protocol):
@@ -42,6 +43,7 @@ def top_k_padded(scores: DataFrame, queries: DataFrame, documents: DataFrame, k:
     greatest ids can matter, so each query is padded with the greatest ids alone.  A page that scores below
     0 ranks after all of these.
     """
+    scores = written(scores.select("query_id", "document_id", "score"))
     best = ranking.rank_scores(scores, k=k)
     spare = documents.select("document_id").distinct().orderBy(F.desc("document_id")).limit(2 * k).agg(F.collect_list("document_id").alias("spare"))
     padded = queries.select("query_id").distinct().withColumn("spare", spare.scalar())
