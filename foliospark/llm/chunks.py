@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.session import bounded_rows
+from foliospark.session import bounded_rows, spread
 
 #: Code points with the Unicode property White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -220,4 +220,4 @@ def split_oversized(df: DataFrame, chunkings: list[Chunking], key: str = "doc_id
                 columns.append(pa.array(pieces, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["chunking_name", key, "piece", "first_word", "words", "shared_words", "start_char", "end_char", *["text"] * with_text])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).where(F.col(f"`{text}`").isNotNull()).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).where(F.col(f"`{text}`").isNotNull())).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.session import checkpointed
+from foliospark.session import checkpointed, spread
 
 # Letters that are drawn alike, each line as Latin, then Cyrillic, then Greek ("-": none).
 LOOKALIKES = """
@@ -260,7 +260,7 @@ def train(df: DataFrame, text: str = "text") -> Model:
 
     The table is bounded by the alphabets (PAIR_BOUND), whatever the size of the corpus.
     """
-    counted = df.select(F.col(f"`{text}`").alias("t")).where("t is not null").mapInArrow(_count, "pair string, n bigint")
+    counted = spread(df.select(F.col(f"`{text}`").alias("t")).where("t is not null")).mapInArrow(_count, "pair string, n bigint")
     rows = counted.groupBy("pair").agg(F.sum("n").alias("n")).limit(PAIR_BOUND).collect()
     return Model({r[0]: r[1] for r in rows})
 
@@ -294,7 +294,7 @@ def normalize(df: DataFrame, key: str = "doc_id", text: str = "text", model: Mod
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], [key, text])
 
-    rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    rows = spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
     if digests:
         return rows.where(F.col(f"`{text}`").isNotNull()).mapInArrow(run, f"`{key}` {key_type}, look binary, characters binary")
     return rows.mapInArrow(run, f"`{key}` {key_type}, `{text}` string")

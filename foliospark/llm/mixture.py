@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.tokens import count_tokens
-from foliospark.session import bounded_rows, written
+from foliospark.session import bounded_rows, spread, written
 
 #: Cells of the unit interval in which the drivers' calibration sees a source's tokens.
 CELLS = 4096
@@ -83,7 +83,7 @@ def mix(df: DataFrame, weights: list[Weight], key: str = "doc_id", source: str =
     names = [w.source for w in weights]
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").alias("text")).where(F.col("source").isin(names))
     sign = F.xxhash64(F.lit(seed), "key", "source", F.xxhash64("text"))
-    rows = written(count_tokens(rows, text="text").withColumn("at", F.shiftrightunsigned(sign, 11) / F.lit(float(2**53))))
+    rows = written(count_tokens(spread(rows), text="text").withColumn("at", F.shiftrightunsigned(sign, 11) / F.lit(float(2**53))))
     cells: dict[str, np.ndarray] = {w.source: np.zeros(CELLS) for w in weights}
     for r in rows.groupBy("source", F.floor(F.col("at") * CELLS).cast("int").alias("cell")).agg(F.sum("tokens").alias("tokens")).collect():
         cells[r["source"]][r["cell"]] = r["tokens"]
@@ -96,8 +96,8 @@ def mix(df: DataFrame, weights: list[Weight], key: str = "doc_id", source: str =
     drawn = rows.join(F.broadcast(plan), "source").withColumn("uses", F.size(F.filter("cuts", lambda c: F.col("at") > c)))
     copies = drawn.where("uses > 0").select("key", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy"), "text")
     copies = copies.withColumn("order", F.xxhash64(F.lit(seed + 1), "key", "source", F.xxhash64("text"), "copy"))
-    spread = copies.repartition("order").sortWithinPartitions("order")
-    return spread.select(F.col("key").alias(key), F.col("source").alias(source), "tokens", "copy", F.col("text").alias(text))
+    mixed = copies.repartition("order").sortWithinPartitions("order")
+    return mixed.select(F.col("key").alias(key), F.col("source").alias(source), "tokens", "copy", F.col("text").alias(text))
 
 
 def shares(mixed: DataFrame, weights: list[Weight], source: str = "source") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.topn import top_n
+from foliospark.session import spread
 
 #: Range-partitioned Hilbert orderings; further orderings of the rows of each range; dimensions and bits a
 #: dimension of an ordering; rows of a key window.
@@ -245,7 +246,7 @@ def nearest(
     repeated row counts once; an item with several vectors is represented by one of them, always the same.
     Other columns are dropped; an empty table gives no rows.
     """
-    rows = _items(df, item, vector, owner)
+    rows = spread(_items(df, item, vector, owner))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()

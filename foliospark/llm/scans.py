@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.lookalikes import _OTHER_SCRIPT, CLASSES, fold
-from foliospark.session import written
+from foliospark.session import spread, written
 
 # What a scanner reads (first) for what is printed, in the form that look-alikes share.
 MISREADINGS = """
@@ -393,7 +393,7 @@ def train(df: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> Edit
     The lexicon has at most ``words`` entries, whatever the size of the corpus; words beyond it count as
     rare as its rarest.
     """
-    counted = df.select(F.col(f"`{text}`").alias("t")).where("t is not null").mapInArrow(_count_words, "word string, n bigint")
+    counted = spread(df.select(F.col(f"`{text}`").alias("t")).where("t is not null")).mapInArrow(_count_words, "word string, n bigint")
     rows = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
     editor = Editor({r[0]: r[1] for r in rows}, floor=rows[-1][1] if len(rows) == words else 1)
     return editor.train()
@@ -459,7 +459,7 @@ def _scan(df: DataFrame, editor: Editor, key: str, text: str, bundle: str | None
 
     group = F.col(f"`{bundle}`").cast("string") if bundle else F.lit(None).cast("string")
     rows = df.select(F.col(f"`{key}`"), group.alias("bundle"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    return rows.mapInArrow(run, f"`{key}` {key_type}, bundle string, kinds array<string>, heads array<struct<head: string, score: double>>")
+    return spread(rows).mapInArrow(run, f"`{key}` {key_type}, bundle string, kinds array<string>, heads array<struct<head: string, score: double>>")
 
 
 def _heads(scanned: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.session import written
+from foliospark.session import spread, written
 
 #: Where the vocabulary files lie, unless the caller says otherwise.
 TOKENIZERS = os.environ.get("FOLIOSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -236,7 +236,7 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     coded = lambda ids, rest: F.zip_with("words", ids, lambda w, i: F.coalesce(i, -F.array_position(rest, w).cast("int")))
     split = let(known, lambda ids: let(unknown(ids), lambda rest: F.struct(rest.alias("open"), coded(ids, rest).alias("codes"))))
     found = (
-        df.select(F.col(f"`{key}`").alias("key"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
+        spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).select(F.col(f"`{key}`").alias("key"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
         .select("row", "key", F.posexplode(segments).alias("segment", "words"))
         .select("row", "key", "segment", split.alias("split"))
         .select("row", "key", "segment", "split.open", "split.codes")
