@@ -201,6 +201,8 @@ _BEFORE = re.compile(rf"({_NUMBER}|\d{{1,4}}|(?=[mdclxvi]){_ROMAN})(?: {{2,}}|\t
 _AFTER = re.compile(rf"(.+?)(?: {{2,}}|\t+| \| )({_NUMBER}|\d{{1,4}}|(?=[mdclxvi]){_ROMAN})")
 _PARTS = re.compile(r" {2,}|\t+| \| ")
 _CELL = re.compile(r"\.{3,}| : |:$|^\W*$")
+#: What joins two prefixes of one word, as in "pre- and post-".
+_AND = re.compile(r"(?:and|or|und|oder|et|ou|y|o|и|или|και|ή)$", re.IGNORECASE)
 _ENDED = re.compile(r"[.!?;:…。！？][\"')\]”’»]*$")
 _DIGIT = re.compile(r"\d")
 _SENTENCE = re.compile(r"(?<!\bVol)(?<!\bNo)(?<!Bros)(?<!BROS)(?<!bros)\. ")
@@ -351,7 +353,7 @@ def breaks(text: str, lexicon: dict[str, int], skip: set[int] | None = None) ->
             broken = joined > compound
         else:
             known = lambda w: lexicon.get(w.lower(), 0) > 5 and len(w) > 2
-            broken = not chained and not (known(a) and known(b)) and (len(a) > 1 or len(b) > 2) and not lines[j].strip().lower().startswith(("and ", "und ", "et ", "y "))
+            broken = not chained and not (known(a) and known(b)) and (len(a) > 1 or len(b) > 2) and not _AND.match(b)
         yield i, j, a, b, broken
 
 
