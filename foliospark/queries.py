@@ -17,6 +17,7 @@ from foliospark.functions.vectors import finite, norm
 from foliospark.operators import bm25, dense, fingerprints, loss, maxsim, metrics, pooling, ranking, samples, subset, validate
 from foliospark.plans.evaluation import top_k_padded
 from foliospark.session import bounded_rows, checkpointed, table
+from foliospark.sources.images import png_size
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,6 +454,18 @@ def artifact_digests(spark: SparkSession, sf: str) -> DataFrame:
     return validate.digest_mismatches(both, F.col("bytes"), F.col("sha256"), "document_id")
 
 
+@query("""SELECT document_id, w AS found_width, h AS found_height, width, height FROM (
+  SELECT i.document_id, i.width, i.height, CASE WHEN ok THEN CAST('0x' || substr(head, 33, 8) AS BIGINT) END AS w, CASE WHEN ok THEN CAST('0x' || substr(head, 41, 8) AS BIGINT) END AS h FROM image_documents i JOIN (
+    SELECT CAST("corpus-id" AS VARCHAR) AS document_id, hex(image.bytes)[1:48] AS head, len(hex(image.bytes)) >= 48 AND starts_with(hex(image.bytes), '89504E470D0A1A0A0000000D49484452') AS ok FROM corpus) c USING (document_id))
+WHERE w IS DISTINCT FROM width OR h IS DISTINCT FROM height""")
+def image_size_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Page records whose size isn't that of the stored image, or whose image has none."""
+    pages = table(spark, sf, "corpus").select(F.col("`corpus-id`").cast("string").alias("document_id"), png_size(F.col("image.bytes")).alias("size"))
+    both = table(spark, sf, "image_documents").select("document_id", "width", "height").join(pages, "document_id")
+    wrong = ~F.col("size.width").eqNullSafe(F.col("width").cast("bigint")) | ~F.col("size.height").eqNullSafe(F.col("height").cast("bigint"))
+    return both.where(wrong).select("document_id", F.col("size.width").alias("found_width"), F.col("size.height").alias("found_height"), "width", "height")
+
+
 @query("""SELECT CAST(row_index AS BIGINT) AS row_index, left_id, right_id FROM (SELECT row_number() OVER () - 1 AS row_index, CAST("corpus-id" AS VARCHAR) AS left_id FROM corpus)
 FULL JOIN (SELECT row_number() OVER () - 1 AS row_index, document_id AS right_id FROM documents) USING (row_index) WHERE left_id IS DISTINCT FROM right_id""")
 def row_order_violations(spark: SparkSession, sf: str) -> DataFrame:

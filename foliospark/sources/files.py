@@ -51,8 +51,10 @@ class Artifact:
     sha256: str
 
 
-def verify(spark: SparkSession, artifacts: list[Artifact], resolve: Callable[[str], str] = lambda p: p) -> DataFrame:
-    """The artifacts as read (path, length, sha256), after checking sizes and digests; Spark reads and hashes them."""
+def verify(spark: SparkSession, artifacts: list[Artifact], resolve: Callable[[str], str] = lambda p: p, count: int | None = None, total: int | None = None) -> DataFrame:
+    """The artifacts as read (name, length, sha256), after checking sizes, digests and, if given, their number and total size; Spark reads and hashes them."""
+    if count is not None and len(artifacts) != count or total is not None and sum(a.size for a in artifacts) != total:
+        raise ContractError("the manifest's number of artifacts or their total size is wrong")
     wanted = spark.createDataFrame([(Path(resolve(a.path)).name, a.size, a.sha256) for a in artifacts], "name string, size bigint, expected string")
     files = spark.read.format("binaryFile").load([resolve(a.path) for a in artifacts])
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
@@ -81,6 +83,12 @@ def strict_json(text: str, keys: set[str] | None = None) -> dict:
     return value
 
 
+def source_manifest(paths: list[str], root: str) -> dict[str, object]:
+    """Digests of files under ``root`` (null for an absent one) and a digest of them all."""
+    found = {p: file_digest(os.path.join(root, p)) if os.path.isfile(os.path.join(root, p)) else None for p in sorted(paths)}
+    return {"files": found, "sha256": hashlib.sha256(json.dumps(found, sort_keys=True, separators=(",", ":")).encode()).hexdigest()}
+
+
 def preflight(path: str, overwrite: bool = False) -> None:
     """An output must not be a folder, nor exist unless it may be replaced."""
     if os.path.isdir(path):
