@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.tokens import count_tokens
@@ -106,5 +106,5 @@ def shares(mixed: DataFrame, weights: list[Weight], source: str = "source") -> D
     targets = spark.createDataFrame([(w.source, w.share, w.cap) for w in weights], "source string, target_share double, max_repeats int")
     got = mixed.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records"), F.max("copy").alias("most_uses"))
     both = targets.join(got, "source", "left").fillna(0, ["tokens", "records", "most_uses"])
-    everything = got.agg(F.sum("tokens").alias("all_tokens")).first()[0] or 0
-    return both.withColumn("share", F.when(F.lit(everything) > 0, F.col("tokens") / F.lit(everything)).otherwise(F.lit(0.0)))
+    everything = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+    return both.withColumn("share", F.when(everything > 0, F.col("tokens") / everything).otherwise(F.lit(0.0)))
