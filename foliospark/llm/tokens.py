@@ -114,7 +114,19 @@ def _tables(path: str) -> dict[str, tuple[list, str]]:
         slot = next((x for x in (sign % WORD_SLOTS, sign // WORD_SLOTS % WORD_SLOTS) if words[x] is None), None)
         if slot is not None and piece.decode("utf-8", "ignore").encode() == piece and v.encode_word(piece) == [i]:
             words[slot], ids[slot] = piece.decode("utf-8"), i
+    # Numbers of up to four digits that take two pieces are known words too, numbered from the vocabulary's size.
+    numbers = [f"{space}{n:0{digits}}" for digits in range(1, 5) for n in range(10**digits) for space in ("", " ")]
+    twos = []
+    for text in numbers:
+        pair = v.encode_word(text.encode())
+        sign = xxhash.xxh64_intdigest(text, seed=42)
+        slot = next((x for x in (sign % WORD_SLOTS, sign // WORD_SLOTS % WORD_SLOTS) if words[x] is None), None)
+        if len(pair) == 2 and slot is not None:
+            words[slot], ids[slot] = text, v.size + len(twos)
+            twos.append(pair)
     return {
+        "lefts": ([a for a, _ in twos] or [0], "int"),
+        "rights": ([b for _, b in twos] or [0], "int"),
         "ranks": ([0 if r is None else r for r in ranks], "bigint"),
         "shifts": (shifts, "int"),
         "merged": (merged, "int"),
@@ -152,7 +164,7 @@ class Literals:
 
 
 def known_ids(words: Column, pieces: Column, ids: Column) -> Column:
-    """Of each word its id if it is found to be one piece of the vocabulary, else null."""
+    """Of each word its id if it is found to be one piece of the vocabulary, a number's code if it is one of two, else null."""
     sign = F.xxhash64
     slot = lambda h: h.bitwiseAND(F.lit(WORD_SLOTS - 1)).cast("int")
     one, other = lambda w: slot(sign(w)), lambda w: slot(F.shiftrightunsigned(sign(w), 17))
@@ -217,8 +229,8 @@ def word_ids(word: Column, tables: Literals) -> Column:
 def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", ids: str = "ids") -> DataFrame:
     """The token ids of every row's text: the key and ``ids``, without special tokens.
 
-    A text is cut into words by the vocabulary's pattern.  Words that are one piece are looked up at once;
-    of the others every distinct one is folded once, over its bytes, and its ids go back to the texts that
+    A text is cut into words by the vocabulary's pattern.  Words that are one piece, and short numbers that
+    are two, are looked up at once; of the others every distinct one is folded once, over its bytes, and its ids go back to the texts that
     hold it.  A text is handled in segments, so no row or group grows with more than one text.
 
     An empty and a null text both give an empty list; a null key is kept; repeated rows come out repeated.
@@ -250,7 +262,13 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     segment = both.groupBy("row", "segment").agg(
         F.max("key").alias("key"), F.max("codes").alias("codes"), F.transform(F.sort_array(F.collect_list("word")), lambda w: w["piece_ids"]).alias("own")
     )
-    ids_of = let(F.col("own"), lambda own: F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(own, -c - 1)))))
+    size = tables.size
+
+    def spelled(own: Column, lefts: Column, rights: Column) -> Column:
+        pair = lambda c: F.array(F.get(lefts, c - size), F.get(rights, c - size))
+        return F.flatten(F.transform("codes", lambda c: F.when(c < 0, F.get(own, -c - 1)).when(c < size, F.array(c)).otherwise(pair(c))))
+
+    ids_of = let(F.col("own"), lambda own: let(tables("lefts"), lambda lefts: let(tables("rights"), lambda rights: spelled(own, lefts, rights))))
     whole = segment.select("row", "key", F.struct("segment", ids_of.alias("ids")).alias("part")).groupBy("row").agg(F.max("key").alias("key"), F.collect_list("part").alias("parts"))
     return whole.select(F.col("key").alias(key), F.flatten(F.transform(F.sort_array("parts"), lambda p: p["ids"])).alias(ids))
 
