@@ -25,6 +25,8 @@ SEGMENT = 1024
 LONG = 24
 #: Two primes whose product exceeds every pair of ids, as a key; the first is the size of the rank table.
 SLOTS, SPREAD = 131_071, 19_997
+#: Between the values of a literal; no piece of text in the vocabulary holds it.
+SEPARATOR = "\ue000"
 #: Slots of the table of whole words, a power of two.
 WORD_SLOTS = 131_072
 
@@ -73,12 +75,6 @@ class Vocabulary:
         return ids
 
 
-@cache
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file, read once."""
-    return Vocabulary(path)
-
-
 def perfect_table(keys: dict[int, int], slots: int, spread: int) -> tuple[list[int | None], list[int]]:
     """A table without collisions: key k lies at (k mod slots + shift[k mod spread]) mod slots."""
     groups: dict[int, list[int]] = defaultdict(list)
@@ -96,11 +92,11 @@ def perfect_table(keys: dict[int, int], slots: int, spread: int) -> tuple[list[i
 
 
 @cache
-def _tables(path: str) -> dict[str, tuple[list, str]]:
-    """Values and type of the rank table, the bytes' ids, the cuts and the words of the vocabulary."""
+def _tables(path: str) -> tuple[int, dict[str, tuple[str, str]]]:
+    """The vocabulary's size; values (joined) and type of the rank table, the bytes' ids, the cuts and the words of the vocabulary."""
     import xxhash
 
-    v = vocabulary(path)
+    v = Vocabulary(path)
     packed = {a * v.size + b: (rank << 32) | (a * v.size + b) for (a, b), (rank, _) in v.ranks.items()}
     ranks, shifts = perfect_table(packed, SLOTS, SPREAD)
     merged = [new for _, new in sorted(v.ranks.values())]
@@ -124,7 +120,7 @@ def _tables(path: str) -> dict[str, tuple[list, str]]:
         if len(pair) == 2 and slot is not None:
             words[slot], ids[slot] = text, v.size + len(twos)
             twos.append(pair)
-    return {
+    lists: dict[str, tuple[list, str]] = {
         "lefts": ([a for a, _ in twos] or [0], "int"),
         "rights": ([b for _, b in twos] or [0], "int"),
         "ranks": ([0 if r is None else r for r in ranks], "bigint"),
@@ -135,6 +131,7 @@ def _tables(path: str) -> dict[str, tuple[list, str]]:
         "words": (words, "string"),
         "word_ids": (ids, "int"),
     }
+    return v.size, {name: (SEPARATOR.join("" if x is None else str(x) for x in values), kind) for name, (values, kind) in lists.items()}
 
 
 def let(value: Column, body) -> Column:
@@ -148,18 +145,14 @@ class Literals:
     Each is a string that the optimizer splits and casts once.  Plans that hold them are shown cut short.
     """
 
-    SEPARATOR = "\ue000"
-
     def __init__(self, spark: SparkSession, path: str):
-        self.row = _tables(path)
-        self.size = vocabulary(path).size
+        self.size, self.tables = _tables(path)
         if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483"):  # its default: no limit
             spark.conf.set("spark.sql.maxPlanStringLength", "1000000")
 
     def __call__(self, name: str) -> Column:
-        values, kind = self.row[name]
-        joined = F.lit(self.SEPARATOR.join("" if v is None else str(v) for v in values))
-        parts = F.split(joined, self.SEPARATOR)
+        joined, kind = self.tables[name]
+        parts = F.split(F.lit(joined), SEPARATOR)
         return parts if kind == "string" else parts.cast(f"array<{kind}>")
 
 
@@ -279,7 +272,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
     Ids outside the vocabulary stand for nothing; a null list gives a null text.  Bytes that aren't UTF-8
     come out as the replacement character.
     """
-    v = vocabulary(path or f"{TOKENIZERS}/byte_bpe_50k.json")
+    v = Vocabulary(path or f"{TOKENIZERS}/byte_bpe_50k.json")
     pieces = [v.piece_of[i].hex() if i in v.piece_of else None for i in range(v.size)]
     table = F.split(F.lit(",".join(p or "" for p in pieces)), ",")
     spelled = let(table, lambda p: F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.get(p, i), F.lit(""))), ""))
