@@ -109,4 +109,13 @@ WITH best AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY scorer, query_id ORDER BY score DESC, document_id DESC) AS place FROM best)
 SELECT scorer, query_id, CAST(place AS INTEGER) AS place, document_id FROM ranked WHERE place <= k""",
+    "p4_found": """
+WITH v AS (
+  SELECT document_id, max(mean_embedding)::DOUBLE[] AS e FROM doc_mean
+  WHERE document_id IS NOT NULL AND len(mean_embedding) = 128 AND len(list_filter(mean_embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(mean_embedding, lambda x: x <> 0)) > 0 GROUP BY document_id),
+u AS (SELECT document_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+sims AS (SELECT a.document_id AS a, b.document_id AS b, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM u a JOIN u b ON a.document_id <> b.document_id),
+near AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b DESC) AS place FROM sims) WHERE place <= 5 AND s >= 0.8)
+SELECT DISTINCT least(a, b) AS document_a, greatest(a, b) AS document_b FROM near""",
 }
