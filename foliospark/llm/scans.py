@@ -195,10 +195,11 @@ class Editor:
 # ---- Pages -------------------------------------------------------------------------------------------
 
 _NUMBER = r"(?:[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\]|\d{1,4}/\d{1,4}|p\. ?\d{1,4}|(?:Page|Seite|Página|Σελίδα|Страница) \d{1,4}(?: (?:of|von|de|sur|из|από) \d{1,4})?)"
-_ROMAN = r"(?:m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
-_ALONE = re.compile(rf"(?:{_NUMBER}|\d{{1,4}}|(?=[mdclxvi]){_ROMAN})")
-_BEFORE = re.compile(rf"({_NUMBER}|\d{{1,4}}|(?=[mdclxvi]){_ROMAN})(?: {{2,}}|\t+| \| )(.+)")
-_AFTER = re.compile(rf"(.+?)(?: {{2,}}|\t+| \| )({_NUMBER}|\d{{1,4}}|(?=[mdclxvi]){_ROMAN})")
+# Up to 399: larger ones are hardly page numbers, and words such as "mix" are.
+_ROMAN = r"(?:c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
+_ALONE = re.compile(rf"(?:{_NUMBER}|\d{{1,4}}|(?=[clxvi]){_ROMAN})")
+_BEFORE = re.compile(rf"({_NUMBER}|\d{{1,4}}|(?=[clxvi]){_ROMAN})(?: {{2,}}|\t+| \| )(.+)")
+_AFTER = re.compile(rf"(.+?)(?: {{2,}}|\t+| \| )({_NUMBER}|\d{{1,4}}|(?=[clxvi]){_ROMAN})")
 _PARTS = re.compile(r" {2,}|\t+| \| ")
 _CELL = re.compile(r"\.{3,}| : |:$|^\W*$")
 #: What joins two prefixes of one word, as in "pre- and post-".
@@ -255,13 +256,13 @@ def furniture(text: str) -> list[Line]:
         if not line or len(line) > 130 or line == "\x0c":
             continue
         c = line[0]
-        if not (c.isupper() or c.isdigit() or c in "-–—[pmdclxvi"):
+        if not (c.isupper() or c.isdigit() or c in "-–—[pclxvi"):
             continue
         if len(line) < 24 and _ALONE.fullmatch(line):
             found.append(Line(i, line, number=line, alone=True))
             continue
         number = rest = None
-        if c in "-–—[pmdclxvi0123456789PSΣС" and (m := _BEFORE.fullmatch(line)):
+        if c in "-–—[pclxvi0123456789PSΣС" and (m := _BEFORE.fullmatch(line)):
             number, rest = m[1], m[2]
         elif ("  " in line or "\t" in line or " | " in line) and (m := _AFTER.fullmatch(line)):
             rest, number = m[1], m[2]
