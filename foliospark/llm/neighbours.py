@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from foliospark.llm.topn import top_n
 from foliospark.session import spread
 
-#: Range-partitioned Hilbert orderings; further orderings of the rows of each range; dimensions and bits a
-#: dimension of an ordering; rows of a key window.
+#: Range-partitioned Hilbert orderings; further orderings of the rows of each range, at least; dimensions and
+#: bits a dimension of an ordering; rows of a key window, at least.
 CURVES, TURNS, DIMENSIONS, BITS, WINDOW = 6, 2, 12, 4, 1024
 #: Rows that are compared with their window at once, and rows of a range that are held at once.
 BLOCK, RANGE_ROWS = 512, 131_072
+#: Columns of a comparison at once; distinct vectors that a range should have; vectors sampled of each range.
+SPAN, RANGE, SAMPLED = 8192, 65_536, 128
+#: Rows of a range that are compared with all others in it, and the share of their neighbours that its windows must find.
+CHECKED, ENOUGH = 128, 0.9
 #: Bytes of the digest that stands for a vector: 96 bits.
 ID_BYTES = 12
 
@@ -55,10 +59,12 @@ def projection(curve: int, width: int, dims: int, seed: int) -> tuple[np.ndarray
     return np.linalg.qr(random.normal(size=(width, dims)))[0].astype(np.float32), random.uniform(-0.5, 0.5, dims).astype(np.float32)
 
 
-def curve_keys(vectors: np.ndarray, curve: int, dims: int, bits: int, seed: int) -> np.ndarray:
-    """Keys of unit vectors along one shifted curve."""
+def curve_keys(vectors: np.ndarray, curve: int, dims: int, bits: int, seed: int, local: bool = False) -> np.ndarray:
+    """Keys of unit vectors along one shifted curve; with ``local`` its cells are as fine as these vectors lie close."""
     directions, shift = projection(curve, vectors.shape[1], dims, seed)
     spread = (vectors @ directions) * np.sqrt(np.float32(vectors.shape[1]))
+    if local:
+        spread = (spread - spread.mean(axis=0)) / np.maximum(spread.std(axis=0), np.float32(1e-6))
     cells = np.clip(((spread + shift) / 8 + 0.5) * (1 << bits), 0, (1 << bits) - 1)
     return hilbert_keys(cells, bits)
 
@@ -151,17 +157,55 @@ def sweep(vectors: np.ndarray, owners: np.ndarray | None, order: np.ndarray, bes
     for start in range(0, len(order), BLOCK):
         end = min(start + BLOCK, len(order))
         far = min(end + window, len(order))
-        found = vectors[start:end] @ vectors[start:far].T
-        np.fill_diagonal(found, -2)
-        if owners is not None:
-            found[owners[start:end, None] == owners[None, start:far]] = -2
-        best.offer(order[start:end], found, order[start:far], least)
-        if far > end:
-            best.offer(order[end:far], np.ascontiguousarray(found[:, end - start :].T), order[start:end], least)
+        for left in range(start, far, SPAN):
+            right = min(left + SPAN, far)
+            found = vectors[start:end] @ vectors[left:right].T
+            if left == start:
+                np.fill_diagonal(found, -2)
+            if owners is not None:
+                found[owners[start:end, None] == owners[None, left:right]] = -2
+            best.offer(order[start:end], found, order[left:right], least)
+            cut = max(left, end)
+            if right > cut:
+                best.offer(order[cut:right], np.ascontiguousarray(found[:, cut - left :].T), order[start:end], least)
+
+
+def share_found(vectors: np.ndarray, owners: np.ndarray | None, best: _Best, least: float) -> float:
+    """The share of the neighbours of ``CHECKED`` rows, taken evenly, that ``best`` has; all rows are compared."""
+    rows = np.unique(np.linspace(0, len(vectors) - 1, CHECKED).astype(np.int64))
+    found = vectors[rows] @ vectors.T
+    found[np.arange(len(rows)), rows] = -2
+    if owners is not None:
+        found[owners[rows, None] == owners[None, :]] = -2
+    k = min(best.k, len(vectors))
+    top = np.partition(found, len(vectors) - k, axis=1)[:, -k:]
+    wanted = (top >= least).sum(axis=1)
+    limit = np.maximum(top.min(axis=1), least) - 1e-6
+    had = np.minimum((best.sims[rows] >= limit[:, None]).sum(axis=1), wanted)
+    return had.sum() / wanted.sum() if wanted.any() else 1.0
+
+
+def cuts_of(keys: np.ndarray, share: float, rows: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ranges of a curve begin but the first, and up to which key they share their rows with the range before.
+
+    ``keys`` are those of a sample of ``share`` of all vectors; a range gets about ``rows`` vectors and shares
+    ``window`` of them or more.
+    """
+    keys = np.sort(keys)
+    ranges = max(1, int(np.ceil(len(keys) / share / rows)))
+    at = len(keys) * np.arange(1, ranges) // ranges
+    expected = window * share
+    more = int(np.ceil(expected + (3 * np.sqrt(expected) if share < 1 else 0)))
+    cuts, first = np.unique(keys[at], return_index=True)
+    return cuts, keys[np.minimum(at[first] + more, len(keys) - 1)]
+
 
+def _windows(k: int, least: float, window: int, width: int, exclude: bool, turns: int, dims: int, bits: int, seed: int, curve_of: list[int]):
+    """Compares the vectors of a range within key windows, along its own curve and a few further ones.
 
-def _windows(k: int, least: float, window: int, width: int, exclude: bool, turns: int, dims: int, bits: int, seed: int):
-    """Compares the vectors of a range within key windows, along its own curve and a few further ones."""
+    Where these find too few of the neighbours of a sample of rows, the range is dense: more curves follow, fitted to
+    it, each with a window twice as wide, until enough are found or a window holds the whole range.
+    """
     packed_width = (width + width % 2) // 2 * 3
 
     def compare(curve: int, ids: np.ndarray, packed: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
@@ -172,6 +216,11 @@ def _windows(k: int, least: float, window: int, width: int, exclude: bool, turns
         for turn in range(1, turns + 1):
             keys = curve_keys(vectors[:, :width], 1000 * turn + curve, dims, bits, seed)
             sweep(vectors, owners, np.argsort(keys, kind="stable"), best, window, least)
+        reach, turn = window, turns
+        while reach < len(ids) and share_found(vectors, owners, best, least) < ENOUGH:
+            reach, turn = 2 * reach, turn + 1
+            keys = curve_keys(vectors[:, :width], 1000 * turn + curve, dims, bits, seed, local=True)
+            sweep(vectors, owners, np.argsort(keys, kind="stable"), best, reach, least)
         keep = best.sims >= least
         count = keep.sum(axis=1)
         some = np.flatnonzero(count)
@@ -182,29 +231,32 @@ def _windows(k: int, least: float, window: int, width: int, exclude: bool, turns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        curve, size = -1, 0
+        at_range, size = -1, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(more: bool) -> Iterator[pa.RecordBatch]:
             nonlocal size
             if held:
-                yield compare(curve, *(np.concatenate(x) for x in zip(*held)))
-            held.clear()
+                whole = tuple(np.concatenate(x) for x in zip(*held))
+                yield compare(curve_of[at_range], *whole)
+                held.clear()
+                if more:  # what follows in the range shares a window of rows with this
+                    held.append(tuple(x[-window:] for x in whole))
             size = 0
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            curves = batch.column(0).to_numpy(zero_copy_only=False)
+            ranges = batch.column(0).to_numpy(zero_copy_only=False)
             ids = _bytes_of(batch.column(1), ID_BYTES).copy().view(f"V{ID_BYTES}").reshape(-1)
             packed, owners = _bytes_of(batch.column(2), packed_width).copy(), batch.column(3).to_numpy(zero_copy_only=False)
-            for c in np.unique(curves):
-                if c != curve or size >= RANGE_ROWS:
-                    yield from flush()
-                    curve = int(c)
-                at = curves == c
+            for r in np.unique(ranges):
+                if r != at_range or size >= RANGE_ROWS:
+                    yield from flush(r == at_range)
+                    at_range = int(r)
+                at = ranges == r
                 held.append((ids[at], packed[at], owners[at]))
                 size += int(at.sum())
-        yield from flush()
+        yield from flush(False)
 
     return run
 
@@ -228,13 +280,17 @@ def nearest(
     bits: int = BITS,
     window: int = WINDOW,
     seed: int = 11,
+    range_rows: int = RANGE,
 ) -> DataFrame:
     """For every item its ``k`` most similar other items of cosine ``least`` or more: item, neighbour, place.
 
-    Every vector is projected and placed on several shifted Hilbert curves.  The curves are range-partitioned
-    by key; within a range each vector is compared with the ``window`` vectors on either side, along the
-    range's curve and along ``turns`` further curves over the rows of the range, which need no shuffle, and
-    the best of all are merged.  Similar vectors are close on some curve with a high probability, so a small share
+    Every vector is projected and placed on several shifted Hilbert curves.  The curves are cut into ranges of
+    about ``range_rows`` distinct vectors, whatever the session's partitions, by the keys of a sample that is
+    drawn when this is called; each range also gets the first ``window`` rows of the next.  Within a range each
+    vector is compared with the ``window`` vectors on either side, along the range's curve and along ``turns``
+    further curves over the rows of the range, which need no shuffle.  Some rows are compared with the whole
+    range: while too few of their neighbours are found, further curves with windows twice as wide follow.  The
+    best of all are merged.  Similar vectors are close on some curve with a high probability, so a small share
     of neighbours is missed (see the README for the recall measured).  Vectors travel as 12-bit integers,
     which moves a cosine by some 0.0001 at most.
 
@@ -246,7 +302,32 @@ def nearest(
     repeated row counts once; an item with several vectors is represented by one of them, always the same.
     Other columns are dropped; an empty table gives no rows.
     """
+    if dims * bits > 63:
+        raise ValueError("a key has at most 63 bits")
     rows = spread(_items(df, item, vector, owner))
+    range_rows = max(range_rows, 4 * window)
+    share = min(1.0, max(SAMPLED / range_rows, 4096 / max(df.count(), 1)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        for batch in batches:
+            at, vectors = usable(batch.column(1), width)
+            names = batch.column(2).to_pylist() if owner else None
+            ids = vector_ids(vectors, [(names[i] or "").encode() for i in at] if owner else None)
+            new = []
+            for i, v in enumerate(ids):
+                if int.from_bytes(v[:6], "big") < share * 2**48 and v not in sent:
+                    sent.add(v)
+                    new.append(i)
+            if new:
+                vectors = unit(vectors[new])
+                keys = np.stack([curve_keys(vectors, c, dims, bits, seed).astype(np.int64) for c in range(curves)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in new], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["id", "keys"])
+
+    drawn = {r["id"]: r["keys"] for r in rows.mapInArrow(draw, "id binary, keys array<bigint>").collect()}
+    drawn_keys = np.array([drawn[i] for i in sorted(drawn)], np.int64).reshape(-1, curves)
+    cuts = [cuts_of(drawn_keys[:, c], share, range_rows, window) for c in range(curves)]
+    curve_of = [c for c in range(curves) for _ in range(len(cuts[c][0]) + 1)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -269,7 +350,14 @@ def nearest(
             owners = [int.from_bytes(hashlib.blake2b((names[at[i]] or "").encode(), digest_size=8).digest(), "big", signed=True) for i in new] if owner else [0] * len(new)
             for c in range(curves):
                 keys = curve_keys(vectors, c, dims, bits, seed).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), c, np.int32)), pa.array(keys), id_column, packed, pa.array(owners, pa.int64())], ["curve", "key", "id", "packed", "owner"])
+                starts, ends = cuts[c]
+                own = np.searchsorted(starts, keys, side="right")
+                shared = np.flatnonzero(keys <= np.concatenate(([-1], ends))[own])
+                out = pa.RecordBatch.from_arrays([pa.array((own + curve_of.index(c)).astype(np.int32)), pa.array(keys), id_column, packed, pa.array(owners, pa.int64())], ["range", "key", "id", "packed", "owner"])
+                yield out
+                if len(shared):
+                    before = pa.array((own[shared] + curve_of.index(c) - 1).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([before, *out.take(pa.array(shared)).columns[1:]], out.schema.names)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,12 +366,9 @@ def nearest(
             ids = vector_ids(vectors, [(names[i] or "").encode() for i in at] if owner else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ids, pa.binary())], ["item", "id"])
 
-    if dims * bits > 63:
-        raise ValueError("a key has at most 63 bits")
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.mapInArrow(place, "curve int, key bigint, id binary, packed binary, owner bigint")
-    ordered = placed.repartitionByRange(partitions, "curve", "key").sortWithinPartitions("curve", "key", "id")
-    near = ordered.select("curve", "id", "packed", "owner").mapInArrow(_windows(k, least, window, width, owner is not None, turns, dims, bits, seed), "id binary, near array<struct<sim: float, id: binary>>")
+    placed = rows.mapInArrow(place, "range int, key bigint, id binary, packed binary, owner bigint")
+    ordered = placed.repartitionById(len(curve_of), F.col("range")).sortWithinPartitions("range", "key", "id")
+    near = ordered.select("range", "id", "packed", "owner").mapInArrow(_windows(k, least, window, width, owner is not None, turns, dims, bits, seed, curve_of), "id binary, near array<struct<sim: float, id: binary>>")
     pairs = near.repartition("id").select("id", F.explode("near").alias("n")).groupBy("id", F.col("n.id").alias("other")).agg(F.max("n.sim").alias("sim"))
     order = Window.partitionBy("id").orderBy(F.desc("sim"), F.desc("other"))
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -82,3 +82,31 @@ def test_owners_and_empty(spark):
     assert len(found & truth) >= 0.99 * len(truth)
     assert all(owners[int(a)] != owners[int(b)] for a, b in found)
     assert neighbours.similar_pairs(df.where("false"), "item", "vector", width=16).collect() == []
+
+
+def test_recall_on_a_hot_topic_does_not_depend_on_partitions(spark):
+    rnd = np.random.default_rng(3)
+    themes = rnd.normal(size=(150, 64))
+    v = (2.4 * rnd.normal(size=64) + 0.6 * themes[rnd.integers(0, 150, 3000)] + 0.8 * rnd.normal(size=(3000, 64))).astype(np.float32)
+    names = [str(i) for i in range(len(v))]
+    truth = brute(names, v, 5, 0.8)
+    df = frame(spark, [(n, x, n) for n, x in zip(names, v)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for partitions, options in (("64", {}), ("4", {}), ("4", {"range_rows": 1024})):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append({(r[0], r[1]) for r in neighbours.nearest(df, "item", "vector", width=64, window=128, **options).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    assert all(len(f & truth) >= 0.9 * len(truth) for f in found)
+
+
+def test_neighbouring_ranges_share_a_window():
+    keys = np.random.default_rng(4).permutation(10_000)
+    cuts, ends = neighbours.cuts_of(keys, 1.0, 2_500, 100)
+    assert list(cuts) == [2_500, 5_000, 7_500] and list(ends) == [2_600, 5_100, 7_600]
+    sample = keys[:1_000]
+    cuts, ends = neighbours.cuts_of(sample, 0.1, 2_500, 100)
+    assert len(cuts) in (3, 4) and (ends - cuts >= 100).all()
