@@ -508,7 +508,7 @@ def prefix_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _selection(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Subsets of all tasks, of five queries each so that their positives fit."""
+    """Subsets of all tasks, of the queries and pages that each specification asks for."""
     found_q, found_d = None, None
     judged = _judged(spark, sf)
     for spec in bounded_rows(table(spark, sf, "selection_specs").orderBy("task"), 200, "the table of selections"):
@@ -516,7 +516,7 @@ def _selection(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         inside = judged.join(pages, "document_id", "left_semi")
         asked = table(spark, sf, "queries").where((F.col("task") == spec["task"]) & (F.trim("query") != "")).select(F.col("`query-id`").cast("string").alias("query_id")).join(inside, "query_id", "left_semi")
         # A task with fewer queries or pages than wanted gives all it has.
-        n_queries, n_pages = min(5, spec["queries_per_task"], asked.distinct().count()), min(spec["documents_per_task"], pages.distinct().count())
+        n_queries, n_pages = min(spec["queries_per_task"], asked.distinct().count()), min(spec["documents_per_task"], pages.distinct().count())
         q, d = subset.select_subset(pages, asked, inside, spec["salt"], n_queries, n_pages)
         q, d = q.select(F.lit(spec["task"]).alias("task"), "query_id", "hash"), d.select(F.lit(spec["task"]).alias("task"), "document_id", "hash", "positive")
         found_q, found_d = (q, d) if found_q is None else (found_q.unionByName(q), found_d.unionByName(d))
