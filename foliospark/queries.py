@@ -16,7 +16,7 @@ from foliospark.functions.text import prompt, tokenize_plain, words
 from foliospark.functions.vectors import finite, norm
 from foliospark.operators import bm25, dense, fingerprints, loss, maxsim, metrics, pooling, ranking, samples, subset, validate
 from foliospark.plans.evaluation import top_k_padded
-from foliospark.session import bounded_rows, checkpointed, table
+from foliospark.session import bounded_rows, checkpointed, numbered, table
 from foliospark.sources.images import png_size
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +94,11 @@ def _bm25(spark: SparkSession, sf: str) -> tuple[bm25.Index, DataFrame]:
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Late-interaction scores of the stated pages against each other, by number."""
-    ids = bounded_rows(_stated(_tokens(spark, sf)).select("document_id").distinct(), 100_000, "the stated pages")
-    numbers = spark.createDataFrame([(r, i) for i, r in enumerate(sorted(x[0] for x in ids))], "id string, n int")
+    """Late-interaction scores of the stated pages (rows) against all pages (columns), by number."""
+    ids = _tokens(spark, sf).select("document_id").where("document_id is not null").distinct()
+    numbers = numbered(ids, "document_id", "n")
     scores = _maxsim(spark, sf)
-    return scores.join(numbers.withColumnsRenamed({"id": "query_id", "n": "i"}), "query_id").join(numbers.withColumnsRenamed({"id": "document_id", "n": "j"}), "document_id").select("i", "j", "score")
+    return scores.join(numbers.withColumnsRenamed({"document_id": "query_id", "n": "i"}), "query_id").join(numbers.withColumnsRenamed({"n": "j"}), "document_id").select("i", "j", "score")
 
 
 def _best_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,7 +307,7 @@ losses AS (SELECT i, positive, negative, greatest(negative - positive, 0) + ln(1
 
 @query(f"{_MATRIX} SELECT CAST(i AS INTEGER) AS i, positive, negative, round(loss, 6) AS loss FROM losses")
 def loss_per_row(spark: SparkSession, sf: str) -> DataFrame:
-    """Contrastive loss of every row of the score matrix of the stated pages."""
+    """Contrastive loss of every stated page, a row of the score matrix, against all pages."""
     return _rounded(loss.row_loss(_matrix(spark, sf)))
 
 

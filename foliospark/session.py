@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,23 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list[Row]:
     return rows
 
 
+def numbered(df: DataFrame, item: str, number: str) -> DataFrame:
+    """``df`` with the rank of each row by ``item`` (distinct values) from 0 on, without sorting all in one task.
+
+    The parts of a range partitioning are numbered each and begin where the ones before end.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = checkpointed(df.repartitionByRange(partitions, item).withColumn("part", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in parts.groupBy("part").count().collect())
+    starts, start = [], 0
+    for part, size in sizes:
+        starts.append((part, start))
+        start += size
+    starts = df.sparkSession.createDataFrame(starts, "part int, start bigint")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(item)) - 1
+    return parts.withColumn("place", place).join(F.broadcast(starts), "part").withColumn(number, (F.col("start") + F.col("place")).cast("int")).drop("part", "place", "start")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table under the shared checkpoint folder and read back.
 
