@@ -9,50 +9,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.operators.blocks import CELLS, SCHEMA, blocks, over_blocks, scored
 
-def chunk_max(queries: list[tuple[str, list[float] | None]], chunks: DataFrame, width: int) -> DataFrame:
+
+def rows_of(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors of a list column as rows; null ones are zero."""
+    vectors = np.zeros((len(column), width))
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    vectors[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return vectors
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; zero ones stay zero."""
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+
+
+def chunk_max(queries: list[tuple[str, list[float] | np.ndarray | None]], chunks: DataFrame, width: int, k: int | None = None, digits: int | None = None) -> DataFrame:
     """Page scores of a stated block of queries against all chunk vectors (document_id, emb): the largest cosine.
 
     Partial maxima are taken in each batch before the shuffle.  A query without a vector, or with a zero one,
-    scores 0 everywhere; a chunk that is blank (null or zero vector) scores 0.
+    scores 0 everywhere; a chunk that is blank (null or zero vector) scores 0.  With ``k`` a task gives only its
+    k best pages of each query, ties to the greater id; with ``digits`` scores are rounded before.
     """
     names = [q for q, _ in queries]
-    matrix = np.array([v if v is not None else [0.0] * width for _, v in queries], dtype=np.float64).reshape(-1, width)
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+    matrix = unit(np.array([np.zeros(width) if v is None or not len(v) else np.asarray(v, np.float64).reshape(-1) for _, v in queries]).reshape(-1, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pages, codes = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
-            vectors = np.array([v if v is not None else [0.0] * width for v in batch.column(1).to_pylist()], dtype=np.float64).reshape(-1, width)
-            size = np.linalg.norm(vectors, axis=1, keepdims=True)
-            sims = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0) @ matrix.T
-            best = np.full((len(pages), len(names)), -np.inf)
-            np.maximum.at(best, codes, sims)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.array(names, dtype=object), len(pages)), pa.string()), pa.array(np.repeat(pages, len(names)), pa.string()), pa.array(best.reshape(-1))], ["query_id", "document_id", "score"]
-            )
-
-    found = chunks.select("document_id", "emb").where("document_id is not null").mapInArrow(run, "query_id string, document_id string, score double")
+            step = max(1, CELLS // max(len(names), 1))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                pages, codes = np.unique(np.array(part.column(0).to_pylist(), dtype=object), return_inverse=True)
+                order = np.argsort(codes, kind="stable")
+                sims = matrix @ unit(rows_of(part.column(1), width)[order]).T
+                yield pages, np.maximum.reduceat(sims, np.flatnonzero(np.diff(codes[order], prepend=-1)), axis=1)
+
+    found = chunks.select("document_id", "emb").where("document_id is not null").mapInArrow(lambda batches: scored(names, matrices(batches), k, digits), SCHEMA)
     return found.groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
 
 
-def scores(queries: DataFrame, chunks: DataFrame, width: int, block: int = 4096) -> DataFrame:
-    """``chunk_max`` of a stated query set (query_id, emb), in blocks of a bounded number of queries."""
-    parts, held = [], []
-    for row in queries.select("query_id", "emb").where("query_id is not null").orderBy("query_id").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            parts.append(chunk_max(held, chunks, width))
-            held = []
-    if held or not parts:
-        parts.append(chunk_max(held, chunks, width))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+def scores(queries: DataFrame, chunks: DataFrame, width: int, block: int = 4096, k: int | None = None, digits: int | None = None) -> DataFrame:
+    """``chunk_max`` of a stated query set (query_id, emb), in blocks of a bounded number of queries, of which the driver holds one or two."""
+    rows = queries.select("query_id", "emb").where("query_id is not null").orderBy("query_id").toLocalIterator()
+    asked = ((r[0], np.zeros((1, width)) if r[1] is None else np.array(r[1], np.float64).reshape(1, width)) for r in rows)
+    return over_blocks(blocks(asked, block), lambda part: chunk_max(part, chunks, width, k, digits))
 
 
 def index_bytes(chunks: DataFrame, width: int) -> DataFrame:

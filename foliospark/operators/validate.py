@@ -57,6 +57,13 @@ def not_relevant(qrels: DataFrame, score: str = "score") -> DataFrame:
     return qrels.where(~F.coalesce(is_finite(value) & (value == 1.0), F.lit(False)))
 
 
+def relevant(qrels: DataFrame, score: str = "score") -> DataFrame:
+    """Judgements that are exactly 1; a null, a boolean or a string never is."""
+    if not isinstance(qrels.schema[score].dataType, T.NumericType):
+        return qrels.where("false")
+    return qrels.where(F.col(f"`{score}`").cast("double") == 1.0)
+
+
 def unknown_keys(df: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key the other table lacks (a foreign-key check)."""
     keys = known.select(F.col(f"`{key}`").cast("string").alias("known_")).distinct()
@@ -76,8 +83,22 @@ def conflicts(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
-    """A single Parquet file's rows with their place in it, as the reader reports it."""
-    return df.withColumn("row_index", F.col("_metadata.row_index"))
+    """The rows of a scanned Parquet table with their place in it.
+
+    The reader reports a row's place in its file.  Where the table has several files, they follow each other in
+    order of their paths, and each begins where the ones before end; the table of beginnings has a row for each
+    file, as Spark's own file listing has on the driver.
+    """
+    if len(df.inputFiles()) < 2:
+        return df.withColumn("row_index", F.col("_metadata.row_index"))
+    sizes = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").collect()
+    starts, start = [], 0
+    for file, n in sizes:
+        starts.append((file, start))
+        start += n
+    starts = df.sparkSession.createDataFrame(starts, "file_ string, start_ bigint")
+    placed = df.withColumn("file_", F.col("_metadata.file_path")).withColumn("row_index", F.col("_metadata.row_index"))
+    return placed.join(F.broadcast(starts), "file_").withColumn("row_index", F.col("row_index") + F.col("start_")).drop("file_", "start_")
 
 
 def row_order_mismatches(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:

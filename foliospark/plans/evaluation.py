@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators import bm25, metrics, ranking
-from foliospark.session import written
+from foliospark.session import numbered, written
 
 
 class RetrievalIndex(Protocol):
@@ -39,15 +39,24 @@ class Bm25Index:
 def top_k_padded(scores: DataFrame, queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """The first k of each query's complete ranking, from scores without the zeros.
 
-    A page that doesn't come out scores 0 and ranks by its id; only the k + (number of matches up to k)
-    greatest ids can matter, so each query is padded with the greatest ids alone.  A page that scores below
-    0 ranks after all of these.
+    A page that doesn't come out scores 0 and ranks by its id, before any page that scores below 0.  Of the 2k
+    greatest ids a query's k - 1 best matches can take k - 1 at most, and each match below 0 one more: so each
+    query is padded from its 2k + (matches below 0) greatest ids.  Where no query has a match below 0 these ids
+    are one short list; else each query meets the pages by their place from the greatest id down.
     """
     scores = written(scores.select("query_id", "document_id", "score"))
     best = ranking.rank_scores(scores, k=k)
-    spare = documents.select("document_id").distinct().orderBy(F.desc("document_id")).limit(2 * k).agg(F.collect_list("document_id").alias("spare"))
-    padded = queries.select("query_id").distinct().withColumn("spare", spare.scalar())
-    zeros = padded.select("query_id", F.explode("spare").alias("document_id")).join(scores, ["query_id", "document_id"], "left_anti").withColumn("score", F.lit(0.0))
+    asked, ids = queries.select("query_id").where("query_id is not null").distinct(), documents.select("document_id").where("document_id is not null").distinct()
+    below = scores.where("score < 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("below"))
+    if below.isEmpty():
+        spare = ids.orderBy(F.desc("document_id")).limit(2 * k).agg(F.collect_list("document_id").alias("spare"))
+        padded = asked.withColumn("spare", spare.scalar()).select("query_id", F.explode("spare").alias("document_id"))
+    else:
+        placed = numbered(ids, "document_id", "place")
+        placed = placed.select("document_id", (F.lit(ids.count() - 1) - F.col("place")).alias("place"))
+        wanted = asked.join(below, "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1) + F.coalesce("below", F.lit(0)).cast("int"))).alias("place"))
+        padded = wanted.join(placed, "place").select("query_id", "document_id")
+    zeros = padded.join(scores, ["query_id", "document_id"], "left_anti").withColumn("score", F.lit(0.0))
     return ranking.rank_scores(best.select("query_id", "document_id", "score").unionByName(zeros), k=k)
 
 

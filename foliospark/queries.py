@@ -16,7 +16,7 @@ from foliospark.functions.text import prompt, tokenize_plain, words
 from foliospark.functions.vectors import finite, norm
 from foliospark.operators import bm25, dense, fingerprints, loss, maxsim, metrics, pooling, ranking, samples, subset, validate
 from foliospark.plans.evaluation import top_k_padded
-from foliospark.session import bounded_rows, checkpointed, numbered, table
+from foliospark.session import checkpointed, numbered, table
 from foliospark.sources.images import png_size
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """Judgements that hold: a score of 1, a query and a page that exist; each once."""
     qrels = table(spark, sf, "qrels")
-    qrels = qrels.join(validate.not_relevant(qrels).select("`query-id`", "`corpus-id`", "score").distinct(), ["query-id", "corpus-id", "score"], "left_anti")
-    qrels = qrels.join(table(spark, sf, "queries").select("query-id"), "query-id", "left_semi").join(table(spark, sf, "corpus").select("corpus-id"), "corpus-id", "left_semi")
+    qrels = validate.relevant(qrels).join(table(spark, sf, "queries").select("query-id"), "query-id", "left_semi").join(table(spark, sf, "corpus").select("corpus-id"), "corpus-id", "left_semi")
     return qrels.select(F.col("`query-id`").cast("string").alias("query_id"), F.col("`corpus-id`").cast("string").alias("document_id")).distinct()
 
 
@@ -66,26 +65,26 @@ def _stated(df: DataFrame) -> DataFrame:
     return df.where(F.col("document_id").cast("bigint") % STATED == 0)
 
 
-def _maxsim(spark: SparkSession, sf: str) -> DataFrame:
+def _maxsim(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
     tokens = _tokens(spark, sf)
-    return maxsim.maxsim(_stated(tokens).withColumnRenamed("document_id", "query_id"), tokens, WIDTH).withColumn("score", F.round("score", 4))
+    return maxsim.maxsim(_stated(tokens).withColumnRenamed("document_id", "query_id"), tokens, WIDTH, k=k, digits=4)
 
 
 def _means(spark: SparkSession, sf: str) -> DataFrame:
     return checkpointed(pooling.mean_pool(_tokens(spark, sf), width=WIDTH))
 
 
-def _pooled(spark: SparkSession, sf: str) -> DataFrame:
+def _pooled(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
     means = _means(spark, sf)
     asked = _stated(means).select(F.col("document_id").alias("query_id"), F.col("vector").alias("emb"))
-    return dense.scores(asked, means.withColumnRenamed("vector", "emb"), WIDTH).withColumn("score", F.round("score", 4))
+    return dense.scores(asked, means.withColumnRenamed("vector", "emb"), WIDTH, k=k, digits=4)
 
 
-def _dense(spark: SparkSession, sf: str) -> DataFrame:
+def _dense(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
     rows = _stated(table(spark, sf, "doc_mean")).select("document_id", F.col("mean_embedding").alias("emb"))
     good = rows.where((F.size("emb") == WIDTH) & finite(F.col("emb")) & F.exists("emb", lambda x: x != 0))
     asked = good.groupBy(F.col("document_id").alias("query_id")).agg(F.max("emb").alias("emb"))
-    return dense.scores(asked, maxsim.active(_tokens(spark, sf)), WIDTH).withColumn("score", F.round("score", 4))
+    return dense.scores(asked, maxsim.active(_tokens(spark, sf)), WIDTH, k=k, digits=4)
 
 
 def _bm25(spark: SparkSession, sf: str) -> tuple[bm25.Index, DataFrame]:
@@ -196,14 +195,14 @@ def maxsim_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_MAXSIM}, {_RANKED} {_TOP}")
 def maxsim_top5(spark: SparkSession, sf: str) -> DataFrame:
     """The five best pages of each stated page."""
-    return ranking.rank_scores(_maxsim(spark, sf), k=5)
+    return ranking.rank_scores(_maxsim(spark, sf, 5), k=5)
 
 
 @query(f"{_MAXSIM}, {_RANKED}, {_SELF}, {_metrics_sql('ranked', 5)}")
 def maxsim_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """How well each stated page finds itself by late interaction."""
     stated = _stated(_tokens(spark, sf)).select(F.col("document_id").alias("query_id"), "document_id").distinct()
-    return _rounded(metrics.retrieval_metrics(ranking.rank_scores(_maxsim(spark, sf)), stated, 5))
+    return _rounded(metrics.retrieval_metrics(ranking.rank_scores(_maxsim(spark, sf, 5), k=5), stated, 5))
 
 
 @query(f"{_MEANS} SELECT document_id, CAST(dim AS INTEGER) AS dim, round(x, 5) AS value FROM (SELECT document_id, unnest(vector) AS x, unnest(range(0, 128)) AS dim FROM means)")
@@ -215,20 +214,20 @@ def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_POOLED}, {_RANKED} {_TOP}")
 def mean_pool_top5(spark: SparkSession, sf: str) -> DataFrame:
     """The five best pages of each stated page by mean vectors."""
-    return ranking.rank_scores(_pooled(spark, sf), k=5)
+    return ranking.rank_scores(_pooled(spark, sf, 5), k=5)
 
 
 @query(f"{_POOLED}, {_RANKED}, {_SELF}, {_metrics_sql('ranked', 5)}")
 def mean_pool_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """How well each stated page finds itself by mean vectors."""
     stated = _stated(_tokens(spark, sf)).select(F.col("document_id").alias("query_id"), "document_id").distinct()
-    return _rounded(metrics.retrieval_metrics(ranking.rank_scores(_pooled(spark, sf)), stated, 5))
+    return _rounded(metrics.retrieval_metrics(ranking.rank_scores(_pooled(spark, sf, 5), k=5), stated, 5))
 
 
 @query(f"{_DENSE}, {_RANKED} {_TOP}")
 def dense_top5(spark: SparkSession, sf: str) -> DataFrame:
     """The five pages whose best chunk vector is most like each stated page's vector."""
-    return ranking.rank_scores(_dense(spark, sf), k=5)
+    return ranking.rank_scores(_dense(spark, sf, 5), k=5)
 
 
 @query("SELECT count(*) * (4 * 128 + 8) AS index_bytes FROM doc_tok")
@@ -351,7 +350,7 @@ def top_lists(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_ALL_RANKED}, {_JUDGED}, {_metrics_sql('ranked', 10, 'scorer')}")
 def scorer_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of every scorer."""
-    return _rounded(metrics.retrieval_metrics(ranking.rank_scores(_best_scores(spark, sf), ("scorer", "query_id")), _judged(spark, sf), 10, ("scorer",)))
+    return _rounded(metrics.retrieval_metrics(ranking.rank_scores(_best_scores(spark, sf), ("scorer", "query_id"), k=10), _judged(spark, sf), 10, ("scorer",)))
 
 
 @query(f"WITH {_ALL_RANKED}, {_JUDGED} SELECT scorer, query_id, CAST(min(rank) AS INTEGER) AS first_relevant FROM ranked JOIN judged USING (query_id, document_id) GROUP BY ALL")
@@ -508,19 +507,10 @@ def prefix_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _selection(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Subsets of all tasks, of the queries and pages that each specification asks for."""
-    found_q, found_d = None, None
-    judged = _judged(spark, sf)
-    for spec in bounded_rows(table(spark, sf, "selection_specs").orderBy("task"), 200, "the table of selections"):
-        pages = table(spark, sf, "corpus").where(F.col("task") == spec["task"]).select(F.col("`corpus-id`").cast("string").alias("document_id"))
-        inside = judged.join(pages, "document_id", "left_semi")
-        asked = table(spark, sf, "queries").where((F.col("task") == spec["task"]) & (F.trim("query") != "")).select(F.col("`query-id`").cast("string").alias("query_id")).join(inside, "query_id", "left_semi")
-        # A task with fewer queries or pages than wanted gives all it has.
-        n_queries, n_pages = min(spec["queries_per_task"], asked.distinct().count()), min(spec["documents_per_task"], pages.distinct().count())
-        q, d = subset.select_subset(pages, asked, inside, spec["salt"], n_queries, n_pages)
-        q, d = q.select(F.lit(spec["task"]).alias("task"), "query_id", "hash"), d.select(F.lit(spec["task"]).alias("task"), "document_id", "hash", "positive")
-        found_q, found_d = (q, d) if found_q is None else (found_q.unionByName(q), found_d.unionByName(d))
-    return found_q, found_d
+    """Subsets of all tasks, of the queries and pages that each specification asks for; a task with fewer gives all it has."""
+    pages = table(spark, sf, "corpus").select("task", F.col("`corpus-id`").cast("string").alias("document_id"))
+    asked = table(spark, sf, "queries").where(F.trim("query") != "").select("task", F.col("`query-id`").cast("string").alias("query_id"))
+    return subset.select_subsets(pages, asked, _judged(spark, sf), subset.selections_of(table(spark, sf, "selection_specs")), strict=False)
 
 
 _SUBSET = f"""WITH {_JUDGED},

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,19 +70,48 @@ def numbered(df: DataFrame, item: str, number: str) -> DataFrame:
     return parts.withColumn("place", place).join(F.broadcast(starts), "part").withColumn(number, (F.col("start") + F.col("place")).cast("int")).drop("part", "place", "start")
 
 
+#: Tables that ``written`` has made in this process and that nothing has deleted yet.
+_KEPT: list[str] = []
+
+
+def written_at(df: DataFrame) -> str:
+    """Where ``df`` now lies as a Parquet table under the shared checkpoint folder."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _KEPT.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table under the shared checkpoint folder and read back.
 
     Like a checkpoint it cuts the lineage and survives lost executors, but it is compressed, and later
-    plans prune its columns.  The folder is the caller's to clear, as with other checkpoints.
+    plans prune its columns.  Tables made within ``scratch`` are deleted at its end, all others by ``clear``.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(written_at(df))
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``written`` has made, or those after the first ``since`` of them."""
+    for path in _KEPT[since:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _KEPT[since:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are made within are deleted at the end: write or collect the results before it."""
+    since = len(_KEPT)
+    try:
+        yield
+    finally:
+        clear(spark, since)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, where it comes in fewer pieces than there are cores; else as it is."""
+    if "Adaptive" in df._jdf.queryExecution().executedPlan().getClass().getSimpleName():
+        return df  # it comes out of a shuffle, and asking for its pieces would run that
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
