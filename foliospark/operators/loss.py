@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from foliospark.functions.numeric import is_finite, softplus
 
 
-def matrix_violations(matrix: DataFrame) -> DataFrame:
-    """Rows (``i``) of a matrix (i, j, score) that the loss can't take.
+def matrix_violations(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (``i``) of a matrix (i, j, score), or of one for each ``by``, that the loss can't take.
 
     Each row needs a finite diagonal, no NaN or +inf, and a finite entry beside the diagonal.
     """
     other = F.col("i") != F.col("j")
-    rows = matrix.groupBy("i").agg(
+    rows = matrix.groupBy(*by, "i").agg(
         F.count_if(~other & is_finite(F.col("score"))).alias("diagonal"),
         F.count_if(F.col("score").isNull() | F.isnan("score") | (F.col("score") == float("inf"))).alias("bad"),
         F.count_if(other & is_finite(F.col("score"))).alias("negatives"),
     )
-    return rows.where("diagonal <> 1 or bad > 0 or negatives = 0").select("i")
+    return rows.where("diagonal <> 1 or bad > 0 or negatives = 0").select(*by, "i")
 
 
 def row_loss(matrix: DataFrame) -> DataFrame:

@@ -298,7 +298,7 @@ def bm25_metrics(spark: SparkSession, sf: str) -> DataFrame:
 # ---- Loss --------------------------------------------------------------------------------------------------
 
 _MATRIX = f"""{_MAXSIM},
-numbers AS (SELECT document_id, row_number() OVER (ORDER BY document_id) - 1 AS n FROM (SELECT DISTINCT document_id FROM doc_tok WHERE CAST(document_id AS BIGINT) % {STATED} = 0)),
+numbers AS (SELECT document_id, row_number() OVER (ORDER BY document_id) - 1 AS n FROM (SELECT DISTINCT document_id FROM doc_tok WHERE document_id IS NOT NULL)),
 matrix AS (SELECT a.n AS i, b.n AS j, score FROM scores JOIN numbers a ON a.document_id = query_id JOIN numbers b ON b.document_id = scores.document_id),
 losses AS (SELECT i, positive, negative, greatest(negative - positive, 0) + ln(1 + exp(-abs(negative - positive))) AS loss FROM (
   SELECT i, max(CASE WHEN i = j THEN score END) AS positive, max(CASE WHEN i <> j AND score <> '-inf'::DOUBLE THEN score END) AS negative FROM matrix GROUP BY i))"""
@@ -328,6 +328,14 @@ def loss_violations(spark: SparkSession, sf: str) -> DataFrame:
     return loss.matrix_violations(_matrix(spark, sf))
 
 
+@query("""WITH m AS (SELECT scorer, CAST(query_id AS BIGINT) AS i, CAST(document_id AS BIGINT) AS j, score FROM scores)
+SELECT scorer, i FROM m GROUP BY ALL HAVING count(nullif(i = j AND isfinite(score), false)) <> 1 OR count(nullif(score IS NULL OR isnan(score) OR score = 'inf'::DOUBLE, false)) > 0 OR count(nullif(i <> j AND isfinite(score), false)) = 0""")
+def scorer_matrix_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each scorer's matrix of the score table that the loss can't take."""
+    rows = table(spark, sf, "scores").select("scorer", F.col("query_id").cast("bigint").alias("i"), F.col("document_id").cast("bigint").alias("j"), "score")
+    return loss.matrix_violations(rows, ("scorer",))
+
+
 # ---- Rankings of the score table -----------------------------------------------------------------------------
 
 _BEST = "best AS (SELECT scorer, query_id, document_id, max(score) AS score FROM scores WHERE scorer IS NOT NULL AND query_id IS NOT NULL AND document_id IS NOT NULL AND score IS NOT NULL AND isfinite(score) GROUP BY ALL)"
@@ -443,6 +451,12 @@ def digest_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return validate.conflicts(table(spark, sf, "image_documents"), "document_id", "sha256")
 
 
+@query('SELECT document_id, count(DISTINCT image_format) AS "values" FROM image_documents GROUP BY document_id HAVING count(DISTINCT image_format) > 1')
+def format_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages recorded with several spellings of their format."""
+    return validate.conflicts(table(spark, sf, "image_documents"), "document_id", "image_format")
+
+
 @query("""SELECT document_id, found, sha256 AS expected FROM (
   SELECT i.document_id, i.sha256, CASE WHEN c.image.bytes IS NOT NULL THEN sha256(c.image.bytes) END AS found FROM image_documents i JOIN corpus c ON CAST(c."corpus-id" AS VARCHAR) = i.document_id)
 WHERE found IS DISTINCT FROM sha256""")
@@ -472,6 +486,21 @@ def row_order_violations(spark: SparkSession, sf: str) -> DataFrame:
     return validate.row_order_mismatches(table(spark, sf, "corpus"), "corpus-id", table(spark, sf, "documents"), "document_id")
 
 
+@query("""SELECT CAST(row_index AS BIGINT) AS row_index, left_id, right_id FROM (SELECT row_number() OVER () - 1 AS row_index, CAST("corpus-id" AS VARCHAR) AS left_id FROM corpus)
+FULL JOIN (SELECT row_number() OVER () - 1 AS row_index, document_id AS right_id FROM image_documents) USING (row_index) WHERE left_id IS DISTINCT FROM right_id""")
+def delivery_order_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Places where the page table and the record table name different pages."""
+    return validate.row_order_mismatches(table(spark, sf, "corpus"), "corpus-id", table(spark, sf, "image_documents"), "document_id")
+
+
+@query("""SELECT CAST(row_index AS BIGINT) AS row_index FROM (SELECT row_number() OVER () - 1 AS row_index, query AS found FROM queries)
+FULL JOIN (SELECT row_index, query AS expected FROM (SELECT row_number() OVER () - 1 AS row_index, "query-id" FROM qrels) LEFT JOIN queries USING ("query-id")) USING (row_index) WHERE found IS DISTINCT FROM expected""")
+def guard_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Places where the query table holds another text than the query that the judgement there names."""
+    asked = table(spark, sf, "queries")
+    return validate.guard_mismatches(asked, "query", table(spark, sf, "qrels"), "query-id", asked, "query-id", "query").select("row_index")
+
+
 @query("""SELECT * FROM (SELECT document_id, count(nullif(coalesce(mask, true), false)) AS active, count(nullif(coalesce(mask, true) AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0, false)) AS not_finite,
   count(nullif(NOT coalesce(mask, true) AND len(list_filter(embedding, lambda x: isnan(x) OR x <> 0)) > 0, false)) AS masked_not_zero FROM doc_tok GROUP BY document_id) WHERE active = 0 OR not_finite > 0 OR masked_not_zero > 0""")
 def token_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -515,8 +544,8 @@ def _selection(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 _SUBSET = f"""WITH {_JUDGED},
 inside AS (SELECT s.task, s.salt, s.documents_per_task, j.query_id, j.document_id FROM selection_specs s JOIN corpus c ON c.task = s.task JOIN judged j ON j.document_id = CAST(c."corpus-id" AS VARCHAR)),
-asked AS (SELECT DISTINCT s.task, s.salt, CAST(q."query-id" AS VARCHAR) AS query_id FROM selection_specs s JOIN queries q ON q.task = s.task WHERE trim(q.query) <> '' AND (s.task, CAST(q."query-id" AS VARCHAR)) IN (SELECT (task, query_id) FROM inside)),
-chosen AS (SELECT task, query_id, hash FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY hash, query_id) AS n FROM (SELECT *, sha256(salt || chr(0) || 'query' || chr(0) || query_id) AS hash FROM asked)) WHERE n <= 5),
+asked AS (SELECT DISTINCT s.task, s.salt, s.queries_per_task, CAST(q."query-id" AS VARCHAR) AS query_id FROM selection_specs s JOIN queries q ON q.task = s.task WHERE trim(q.query) <> '' AND (s.task, CAST(q."query-id" AS VARCHAR)) IN (SELECT (task, query_id) FROM inside)),
+chosen AS (SELECT task, query_id, hash FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY hash, query_id) AS n FROM (SELECT *, sha256(salt || chr(0) || 'query' || chr(0) || query_id) AS hash FROM asked)) WHERE n <= queries_per_task),
 pages AS (SELECT s.task, s.salt, s.documents_per_task AS capacity, CAST(c."corpus-id" AS VARCHAR) AS document_id, sha256(s.salt || chr(0) || 'document' || chr(0) || CAST(c."corpus-id" AS VARCHAR)) AS hash FROM selection_specs s JOIN corpus c ON c.task = s.task),
 required AS (SELECT DISTINCT i.task, i.document_id FROM inside i JOIN chosen USING (task, query_id)),
 marked AS (SELECT p.*, (p.task, p.document_id) IN (SELECT (task, document_id) FROM required) AS positive FROM pages p)"""
