@@ -52,8 +52,8 @@ def top_k_padded(scores: DataFrame, queries: DataFrame, documents: DataFrame, k:
         spare = ids.orderBy(F.desc("document_id")).limit(2 * k).agg(F.collect_list("document_id").alias("spare"))
         padded = asked.withColumn("spare", spare.scalar()).select("query_id", F.explode("spare").alias("document_id"))
     else:
-        placed = numbered(ids, "document_id", "place")
-        placed = placed.select("document_id", (F.lit(ids.count() - 1) - F.col("place")).alias("place"))
+        placed = numbered(ids, "document_id", "from_least")
+        placed = placed.select("document_id", (F.lit(ids.count() - 1) - F.col("from_least")).alias("place"))
         wanted = asked.join(below, "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1) + F.coalesce("below", F.lit(0)).cast("int"))).alias("place"))
         padded = wanted.join(placed, "place").select("query_id", "document_id")
     zeros = padded.join(scores, ["query_id", "document_id"], "left_anti").withColumn("score", F.lit(0.0))

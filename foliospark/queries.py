@@ -97,7 +97,7 @@ def _matrix(spark: SparkSession, sf: str) -> DataFrame:
     ids = _tokens(spark, sf).select("document_id").where("document_id is not null").distinct()
     numbers = numbered(ids, "document_id", "n")
     scores = _maxsim(spark, sf)
-    return scores.join(numbers.withColumnsRenamed({"document_id": "query_id", "n": "i"}), "query_id").join(numbers.withColumnsRenamed({"n": "j"}), "document_id").select("i", "j", "score")
+    return scores.join(numbers.withColumnsRenamed({"document_id": "query_id", "n": "i"}), "query_id").join(numbers.withColumnsRenamed({"n": "j"}), "document_id").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "score")
 
 
 def _best_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,7 +67,8 @@ def numbered(df: DataFrame, item: str, number: str) -> DataFrame:
         start += size
     starts = df.sparkSession.createDataFrame(starts, "part int, start bigint")
     place = F.row_number().over(Window.partitionBy("part").orderBy(item)) - 1
-    return parts.withColumn("place", place).join(F.broadcast(starts), "part").withColumn(number, (F.col("start") + F.col("place")).cast("int")).drop("part", "place", "start")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return parts.withColumn("place_in_part", place).join(F.broadcast(starts), "part").select(*own, (F.col("start") + F.col("place_in_part")).alias(number))
 
 
 #: Tables that ``written`` has made in this process and that nothing has deleted yet.

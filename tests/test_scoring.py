@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import dense, loss, maxsim, pooling
+from foliospark.operators import dense, loss, maxsim, pooling, ranking
 
 NAN = float("nan")
 
@@ -103,3 +103,23 @@ def test_loss_contract(spark):
 def test_top1_ties_go_to_the_lowest_column(spark):
     row = loss.ranking_statistics(matrix(spark, [[1, 1], [2, 2]])).first()
     assert row["top1_accuracy"] == 0.5 and row["least_margin"] == 0
+
+
+def test_the_best_kept_in_tasks_are_the_best_of_all(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(str(d), p, bool(rnd.random() < 0.8), [float(x) for x in np.round(rnd.normal(size=4), 1)]) for d in range(300) for p in range(d % 4)]
+    rows += [("999", 0, True, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "document_id string, pos int, mask boolean, emb array<float>").repartition(5)
+    asked = df.where("cast(document_id as int) < 20").withColumnRenamed("document_id", "query_id")
+    for score in (lambda k: maxsim.maxsim(asked, df, 4, block_tokens=7, k=k, digits=1), lambda k: dense.scores(asked.where("pos = 0").select("query_id", "emb"), df, 4, block=3, k=k, digits=1)):
+        best = lambda k: {(r[0], r[1], r[2], r["rank"]) for r in ranking.rank_scores(score(k), k=5).collect()}  # noqa: B023, E731
+        assert best(5) == best(None)
+
+
+def test_pooling_of_repeats_and_hot_items(spark):
+    rows = [("hot", i, None, [float(i % 3), 1.0]) for i in range(5000)] + [("twice", 0, True, [3.0, 4.0]), ("twice", 0, True, [0.0, 1.0]), ("twice", 0, False, [9.0, 9.0]), ("bad", 0, True, [1.0]), ("hole", 0, True, [None, 1.0]), (None, 0, True, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "document_id string, pos int, mask boolean, emb array<float>")
+    runs = [{r[0]: [round(x, 5) for x in r[1]] for r in pooling.mean_pool(df.repartition(n), width=2).collect()} for n in (1, 4, 9)]
+    assert runs[0] == runs[1] == runs[2] and runs[0].keys() == {"hot", "twice"} and runs[0]["twice"] == [0.6, 0.8]
+    mean = sum(i % 3 for i in range(5000)) / 5000
+    assert runs[0]["hot"] == [round(mean / (mean**2 + 1) ** 0.5, 5), round(1 / (mean**2 + 1) ** 0.5, 5)]

@@ -89,3 +89,14 @@ def test_padded_ranking_and_evaluation(spark):
     assert [r[1] for r in sorted((r["rank"], r["document_id"]) for r in ranked.where("query_id = 'none'").collect())] == ["d3", "d2", "d1"]
     found = evaluate(index, queries, docs, spark.createDataFrame([("q", "d0")], "query_id string, document_id string"), 3)
     assert found["mrr_at_3"] == 1 and found["queries"] == 1
+
+
+def test_padding_before_matches_below_zero(spark):
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(9)] + [(None,), ("d8",)], "document_id string")
+    queries = spark.createDataFrame([("q",), ("none",), ("p",), (None,)], "query_id string")
+    scores = spark.createDataFrame([*[("q", f"d{i}", -1.0) for i in (5, 6, 7, 8)], ("p", "d1", 2.0), ("p", "d8", -3.0), ("p", "d7", 0.0)], "query_id string, document_id string, score double")
+    found = {}
+    for r in sorted(top_k_padded(scores, queries, docs, 2).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["document_id"], r["score"]))
+    assert found == {"q": [("d4", 0.0), ("d3", 0.0)], "none": [("d8", 0.0), ("d7", 0.0)], "p": [("d1", 2.0), ("d7", 0.0)]}
+    assert {r["query_id"] for r in top_k_padded(scores.where("score > 0"), queries, docs, 2).collect()} == {"q", "none", "p"}
