@@ -49,12 +49,21 @@ def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(vectors, "token", "embedding", owner="document_id", least=0.4, turns=4, window=4096)
 
 
+#: Days from a task's first query in which its founding queries come.
+FOUNDING_DAYS = 90.0
+
+
 def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """The queries and page ids selected for every specification."""
+    """The queries and page ids selected for every specification.
+
+    Queries arrive by ``added_at``, found in their task's first FOUNDING_DAYS; pages by ``batch_no``, then
+    ``added_at``, and the first batch founds.
+    """
     specs = table(spark, sf, "selection_specs")
-    texts = table(spark, sf, "queries").where(F.trim("query") != "")
-    asked = sampling.stable_sample(texts, "task", "query-id", F.lit(1), sampling.wanted_of(specs, "queries_per_task"), "query", first_part=1.0)
-    pages = sampling.stable_sample(table(spark, sf, "image_documents"), "task", "document_id", F.col("batch_no"), sampling.wanted_of(specs, "documents_per_task"), "document")
+    asked = table(spark, sf, "queries").where(F.trim("query") != "")
+    days = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast({c} as timestamp_ntz))") / F.lit(86_400e6)
+    asked = sampling.stable_sample(asked, "task", "query-id", days("added_at"), sampling.wanted_of(specs, "queries_per_task"), "query", span=FOUNDING_DAYS)
+    pages = sampling.stable_sample(table(spark, sf, "image_documents"), "task", "document_id", F.col("batch_no"), sampling.wanted_of(specs, "documents_per_task"), "document", then=days("added_at"))
     return asked.unionByName(pages).withColumnRenamed("stratum", "task").withColumnRenamed("item", "id")
 
 
