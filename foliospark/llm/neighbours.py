@@ -109,10 +109,15 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _key(owner: bytes) -> bytes:
+    """An owner's name as the key of a digest, which takes 64 bytes: longer names by a digest of their own."""
+    return owner if len(owner) < 64 else hashlib.blake2b(owner).digest()
+
+
 def vector_ids(vectors: np.ndarray, owners: list[bytes] | None) -> list[bytes]:
     """Digests of the vectors as they stand, with their owners' names if they are told apart by owner."""
     plain = vectors + np.float32(0)  # -0 is 0
-    return [hashlib.blake2b(v.tobytes(), digest_size=ID_BYTES, key=(owners[i][:64] if owners else b"")).digest() for i, v in enumerate(plain)]
+    return [hashlib.blake2b(v.tobytes(), digest_size=ID_BYTES, key=(_key(owners[i]) if owners else b"")).digest() for i, v in enumerate(plain)]
 
 
 def _fixed(data: np.ndarray) -> pa.Array:

@@ -44,9 +44,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """For every active token vector the 5 most similar token vectors of other pages, from a cosine of 0.4."""
+    """For every active token vector the 5 most similar token vectors of other pages."""
     vectors = table(spark, sf, "doc_tok").where("coalesce(mask, true)").withColumn("token", F.concat_ws(":", "document_id", "pos"))
-    return neighbours.nearest(vectors, "token", "embedding", owner="document_id", least=0.4, turns=4, window=4096)
+    return neighbours.nearest(vectors, "token", "embedding", owner="document_id", least=-1.0, turns=4, window=4096)
 
 
 #: Days from a task's first query in which its founding queries come.
