@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,15 @@ CLAUSE_ENDS = ",;:，；：、"
 CLOSERS = "\"')]}”’»」"
 BULLETS = "-*•→+·▪–"
 
-# Levels of the tree: the strength of the gap between two words.
-WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH, PAGE, HEADING = 0, 1, 2, 3, 4, 5, 6
+# Levels of the tree: the strength of the gap between two words.  Items of a list stand between ROW and TABLE, deeper
+# ones lower; headings above HEADING, deeper ones lower; what marks an item is glued to it.
+GLUE, WORD, CLAUSE, SENTENCE, LINE, ROW, TABLE, PARAGRAPH, PAGE, HEADING = -1, 0, 10, 20, 30, 32, 42, 45, 50, 60
+#: Depths of items that are told apart.
+DEPTHS = 8
+#: A number or letter that marks an item, such as "3.", "(12)", "b)", "iv." or "2.1".
+_NUMBERED = re.compile(r"\(?(?:\d{1,3}|[A-Za-z]|[ivxlc]{2,6})[.)]|(?:\d{1,3}\.){1,5}\d{1,3}\.?")
+#: Opening and closing tags by the level of the gap before them.
+_TAG = re.compile(r"</?(?:(h)([1-6])|(p|div|section|ul|ol|table|blockquote|pre)|(li|tr|dt|dd)|(br|td|th))\b", re.IGNORECASE)
 
 
 def _flags(chars: str | list[int]) -> np.ndarray:
@@ -33,6 +41,7 @@ def _flags(chars: str | list[int]) -> np.ndarray:
 
 IS_SPACE, IS_LINE, IS_PAGE = _flags(SPACES), _flags(LINE_ENDS), _flags(PAGE_ENDS)
 IS_SENTENCE, IS_CLAUSE, IS_CLOSER, IS_BULLET = map(_flags, (SENTENCE_ENDS, CLAUSE_ENDS, CLOSERS, BULLETS))
+IS_MARK, IS_DIGIT = _flags(".)"), _flags("0123456789")
 IS_UPPER = _flags([c for c in range(0x10000) if chr(c).isupper()])
 IS_LOWER = _flags([c for c in range(0x10000) if chr(c).islower()])
 
@@ -69,9 +78,10 @@ def gap_levels(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """Level of the gap after each word but the last: the structure tree, flattened.
 
     A node of level L is a maximal run of words without a gap of a higher level.  Headings (marked with
-    ``#``, deeper ones lower, or written in capitals) open sections, form feeds end pages, blank lines end
-    paragraphs, list items and lines after a full sentence stand by themselves, and a line end within a
-    sentence is a mere wrap.
+    ``#`` or a tag, deeper ones lower, or written in capitals) open sections, form feeds end pages, blank lines
+    end paragraphs, the rows of a table and lines after a full sentence stand by themselves, and a line end within
+    a sentence is a mere wrap.  Items of lists (bullets, numbers, letters, tags) are nodes whose depth follows
+    their indentation or the parts of their number; a mark stays with its item.
     """
     n = len(starts)
     if n < 2:
@@ -87,12 +97,11 @@ def gap_levels(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     level[IS_SENTENCE[mark]] = SENTENCE
     broken = (breaks > 0) | (feeds > 0)
     if not broken.any():
+        _tags(points, starts, ends, level)
         return level
     first = points[starts[1:]]
-    lone = ends[1:] - starts[1:] == 1
-    item = broken & IS_BULLET[first] & lone
     level[broken & (level == WORD)] = CLAUSE
-    level[broken & ((level == SENTENCE) | item)] = LINE
+    level[broken & (level == SENTENCE)] = LINE
     at = np.flatnonzero(broken)
     line_from, line_to = np.concatenate(([0], at + 1)), np.concatenate((at, [n - 1]))
     uppers, lowers = count(IS_UPPER), count(IS_LOWER)
@@ -103,7 +112,9 @@ def gap_levels(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     wide = ((starts[1:] - ends[:-1]) > 1) & ~broken
     wides = np.concatenate(([0], np.cumsum(wide)))
     tabular[:] = wides[line_to] - wides[line_from] > 0
-    level[short_before[tabular[1:] | tabular[:-1]]] = LINE
+    level[short_before[tabular[1:] & tabular[:-1]]] = ROW
+    level[short_before[tabular[1:] != tabular[:-1]]] = TABLE
+    _items(points, starts, ends, at, level)
     level[breaks > 1] = PARAGRAPH
     level[feeds > 0] = PAGE
     # A heading opens a section; the gap after it belongs to the section.
@@ -114,36 +125,70 @@ def gap_levels(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         deep = int(ends[g + 1] - starts[g + 1])
         if deep <= 6 and (points[starts[g + 1] : ends[g + 1]] == ord("#")).all():
             level[g] = HEADING + 7 - deep
+    _tags(points, starts, ends, level)
     return level
 
 
+def _items(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, level: np.ndarray) -> None:
+    """Set the levels of list items, at line ends ``at`` and at the text's first word."""
+    opening = np.concatenate(([0], at + 1))
+    first = points[starts[opening]]
+    size = ends[opening] - starts[opening]
+    ends_line = np.zeros(len(starts), dtype=bool)
+    ends_line[at] = True
+    maybe = IS_BULLET[first] & (size == 1) | IS_MARK[points[ends[opening] - 1]] & (size <= 12) | IS_DIGIT[first] & (size <= 12)
+    for w in opening[maybe].tolist():
+        word = points[starts[w] : ends[w]].tobytes().decode("utf-16-le", "replace")
+        bullet = len(word) == 1 and not word.isalnum()
+        if not bullet and not _NUMBERED.fullmatch(word) or w + 1 >= len(starts) or ends_line[w]:
+            continue  # a mark that ends its line marks nothing
+        if w < len(level):
+            level[w] = GLUE
+        if w:
+            between = points[ends[w - 1] : starts[w]]
+            line = np.flatnonzero(IS_LINE[between] | IS_PAGE[between])[-1] + 1
+            indent = int((between[line:] == 0x09).sum()) * 4 + int((between[line:] != 0x09).sum())
+            depth = min(DEPTHS, indent // 2 + max(0, word.strip("(.)").count(".")))
+            level[w - 1] = ROW + 1 + DEPTHS - depth
+
+
+def _tags(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, level: np.ndarray) -> None:
+    """Raise the gaps before tags to what the tags open or close."""
+    for w in np.flatnonzero(points[starts] == ord("<")).tolist():
+        tag = _TAG.match(points[starts[w] : ends[w]].tobytes().decode("utf-16-le", "replace"))
+        if tag and w and not (points[starts[w] + 1] == ord("/") and not tag[3]):
+            level[w - 1] = max(level[w - 1], HEADING + 7 - int(tag[2]) if tag[1] else PARAGRAPH if tag[3] else ROW + 1 + DEPTHS if tag[4] else CLAUSE)
+
+
 def _pack(level: np.ndarray, lo: int, hi: int, limit: int, out: list[tuple[int, int]]) -> None:
-    """Append the pieces of the words ``lo`` to ``hi``: siblings merged up to the limit, oversized ones opened."""
+    """Append the pieces of the words ``lo`` to ``hi``: oversized nodes opened, their pieces and siblings merged bottom-up to the limit."""
     if hi - lo <= limit:
         out.append((lo, hi))
         return
     inner = level[lo : hi - 1]
     top = int(inner.max())
-    if top == WORD:
+    if top <= WORD:
         parts = -(-(hi - lo) // limit)
         cuts = [lo + (hi - lo) * p // parts for p in range(parts + 1)]
+        for i in range(1, parts):  # a mark goes with its item where the pieces still fit
+            if level[cuts[i] - 1] == GLUE and cuts[i + 1] - cuts[i] + 1 <= limit and cuts[i] - 1 > cuts[i - 1]:
+                cuts[i] -= 1
         out.extend(zip(cuts[:-1], cuts[1:]))
         return
     cuts = [lo, *(np.flatnonzero(inner == top) + lo + 1).tolist(), hi]
-    begun = -1
+    units: list[tuple[int, int]] = []
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b - a > limit:
-            if begun >= 0:
-                out.append((begun, a))
-                begun = -1
-            _pack(level, a, b, limit, out)
-        elif begun < 0:
-            begun = a
-        elif b - begun > limit:
-            out.append((begun, a))
+            _pack(level, a, b, limit, units)
+        else:
+            units.append((a, b))
+    begun, end = units[0]
+    for a, b in units[1:]:  # siblings, and what is left over at the ends of opened ones
+        if b - begun > limit:
+            out.append((begun, end))
             begun = a
-    if begun >= 0:
-        out.append((begun, hi))
+        end = b
+    out.append((begun, end))
 
 
 def pack(level: np.ndarray, words: int, chunking: Chunking) -> list[tuple[int, int, int]]:

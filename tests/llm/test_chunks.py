@@ -64,3 +64,36 @@ def test_a_short_first_section_lends_the_overlap(words, shared):
     text = "# A\n" + " ".join(f"w{i}" for i in range(40))
     pieces = list(split_text(text, [Chunking("s", words, shared)]))
     assert all(p[4] == shared for p in pieces[1:]) and all(p[3] <= words for p in pieces)
+
+
+def cuts(text, words):
+    return [text[p[5] : p[6]] for p in split_text(text, [Chunking("s", words, 0)])]
+
+
+def test_numbers_stay_with_their_items():
+    items = [f"{mark} one two three four five" for mark in ("1.", "(2)", "c)", "iv.", "5.1", "12.", "•")]
+    for words in (6, 12, 13, 18):
+        pieces = cuts("\n".join(items), words)
+        assert all(p.splitlines()[0] in items and p.splitlines()[-1] in items for p in pieces) and len(pieces) == -(-7 // (words // 6))
+    assert not any(p.split()[-1] in ("1.", "2.", "3.") for p in cuts("\n".join(f"{i}. " + "w " * 9 for i in (1, 2, 3)), 5))
+    assert cuts("It fell in part\n3. The rest stayed where it was", 8)[1].startswith("3. The")
+
+
+def test_nested_items_stay_with_their_parents():
+    nested = "- a one two\n  - b one two\n  - c one two\n- d one two\n  - e one two\n  - f one two"
+    flat = nested.replace("  -", "-")
+    assert cuts(nested, 16)[1].startswith("- d") and cuts(flat, 16)[1].startswith("- e")
+    assert [p.split()[1] for p in cuts(nested, 8)] == ["a", "c", "d", "f"] or [p.split()[1] for p in cuts(nested, 8)] == ["a", "c", "e"]
+    assert cuts("1. a b\n1.1 c d\n1.2 e f\n2. g h\n2.1 i j\n2.2 k l", 11)[1].startswith("2. g")
+
+
+def test_rows_of_a_table_and_tags():
+    text = "Some words stand here before the table without end\n" + "\n".join(f"row{i}  {i}  {i}" for i in range(6)) + "\nand some words after it stand here too"
+    assert [p.split()[0] for p in cuts(text, 18)] == ["Some", "row0", "and"]
+    page = "<h1>One</h1> <p>a b c</p> <p>d e f</p> <h1>Two</h1> <ul> <li>g h</li> <li>i j</li> </ul> <p>k l</p>"
+    assert cuts(page, 9)[1].startswith("<h1>Two") and [p.split()[0] for p in cuts(page, 4)][:3] == ["<h1>One</h1>", "<p>d", "<h1>Two</h1>"]
+
+
+def test_what_is_left_of_an_opened_node_joins_its_neighbours():
+    text = "a b c d e.\n\n" + "f " * 12 + "g. " + "h " * 12 + "i.\n\n" + "j " * 8 + "k."
+    assert [len(p.split()) for p in cuts(text, 20)] == [18, 13, 9] and [len(p.split()) for p in cuts(text, 22)] == [18, 22]
