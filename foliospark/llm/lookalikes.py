@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from foliospark.session import checkpointed, spread
 
-# Letters that are drawn alike, each line as Latin, then Cyrillic, then Greek ("-": none).
+# Letters that are drawn alike, each line as Latin, then Cyrillic, then Greek ("-": none), then other Latin letters.
 LOOKALIKES = """
-a а -
+a а - ɑ
 c с ϲ
 d ԁ -
 e е -
@@ -63,13 +63,17 @@ SAME_AS = {
     "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj",
 }
 SAME_AS = {k: v for k, v in SAME_AS.items() if len(k) == 1}
-#: Characters without a shape of their own.
-IGNORABLE = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
+# Characters without a shape of their own: Unicode's default ignorable ones, but for the joiners of _SHAPING and tags of flags.
+IGNORABLE_RANGES = [
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
+    (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0D), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0100, 0xE01EF),
+]
+IGNORABLE = "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in IGNORABLE_RANGES)
 SCRIPTS = ("latin", "cyrillic", "greek")
 
 _ROWS = [line.split() for line in LOOKALIKES.split("\n") if line]
 #: Of each Latin letter with look-alikes: its candidates as (letter, script).
-LATTICE = {r[0]: [(c, s) for s, c in enumerate(r) if c != "-"] for r in _ROWS}
+LATTICE = {r[0]: [(c, s) for s, c in enumerate(r[:3]) if c != "-"] for r in _ROWS}
 #: Every look-alike to the Latin letter that names its class.
 CLASS_OF = {ord(c): r[0] for r in _ROWS for c in r[1:] if c != "-"}
 
@@ -79,7 +83,8 @@ def _fold_table() -> dict[int, str]:
     table = {ord(k): v for k, v in SAME_AS.items()}
     for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000):
         table[c] = " "
-    for c in (*range(0xFF01, 0xFFEF), *range(0x2160, 0x2180)):
+    # Width forms, Roman numerals, and the radicals of dictionaries, which are drawn as the ideographs.
+    for c in (*range(0xFF01, 0xFFA0), *range(0xFFA1, 0xFFEF), *range(0x2160, 0x2180), *range(0x2F00, 0x2FD6)):
         plain = unicodedata.normalize("NFKC", chr(c))
         if plain != chr(c) and unicodedata.category(chr(c)) != "Cn":
             table[c] = plain
@@ -88,7 +93,7 @@ def _fold_table() -> dict[int, str]:
 
 def _class_table() -> dict[int, str]:
     """Every look-alike, with or without an accent, to its Latin class letter with the same accent."""
-    table = {}
+    table = {c: t for c, t in CLASS_OF.items() if c < 0x370}
     for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
         parts = unicodedata.normalize("NFD", chr(c))
         if ord(parts[0]) in CLASS_OF:
@@ -107,7 +112,7 @@ _ASCII_TOKEN = re.compile(r"[A-Za-z]+")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _MARKED_TOKEN = re.compile("(?:[^\\W\\d_][̀-ͯ]*)+")
 _MARKS = re.compile("[̀-ͯ]")
-_OTHER_SCRIPT = re.compile("[Ͱ-ԯἀ-῿]")
+_OTHER_SCRIPT = re.compile("[ɑͰ-ԯἀ-῿]")
 _CYRILLIC, _GREEK = re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽἀ-῿]")
 _PLAIN_LATIN = re.compile("[" + "".join(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in LATTICE) + "]")
 

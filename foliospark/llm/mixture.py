@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.tokens import count_tokens
 from foliospark.session import bounded_rows, spread, written
 
-#: Cells of the unit interval in which the drivers' calibration sees a source's tokens.
-CELLS = 4096
-#: What part of the largest total that the caps allow is asked for.
-HEADROOM = 0.9
+#: Cells of the unit interval in which the driver sees a source's tokens, and sources that a mixture may have.
+CELLS, SOURCES = 1024, 1_000
 
 
 @dataclass(frozen=True)
@@ -28,8 +26,8 @@ class Weight:
 
 
 def weights_of(table: DataFrame) -> list[Weight]:
-    """The weights of a table (at most 10,000 rows, checked); rows with a null, no share or no use are left out."""
-    rows = bounded_rows(table.select("source", "target_share", "max_repeats"), 10_000, "the table of weights")
+    """The weights of a table (at most SOURCES rows, checked); rows with a null, no share or no use are left out."""
+    rows = bounded_rows(table.select("source", "target_share", "max_repeats"), SOURCES, "the table of weights")
     best = {r[0]: Weight(r[0], float(r[1]), int(r[2])) for r in sorted(rows, key=repr) if None not in (r[0], r[1], r[2]) and r[1] > 0 and r[2] > 0}
     return [best[k] for k in sorted(best)]
 
@@ -45,6 +43,22 @@ def cut_points(rate: float, cap: int) -> list[float]:
     return cuts
 
 
+def expected_uses(rate: float, cap: int) -> float:
+    """The mean of a Poisson variable of mean ``rate`` that is cut at ``cap``."""
+    return sum(1.0 - c for c in cut_points(rate, cap))
+
+
+def rate_for(uses: float, cap: int) -> float:
+    """The mean of the Poisson distribution that, cut at ``cap``, gives ``uses`` on average; for ``cap`` itself, one that always does."""
+    low, high = 0.0, 50.0 * cap
+    if uses >= cap:
+        return high
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if expected_uses(middle, cap) < uses else (low, middle)
+    return (low + high) / 2
+
+
 def used(cells: np.ndarray, cuts: list[float]) -> float:
     """Tokens that come out of a source, given its tokens by cell of the hash."""
     below = np.concatenate(([0.0], np.cumsum(cells)))
@@ -53,15 +67,20 @@ def used(cells: np.ndarray, cuts: list[float]) -> float:
 
 
 def calibrated(cells: np.ndarray, cap: int, target: float) -> list[float]:
-    """Cut points of the Poisson distribution whose inversion over these hashes gives ``target`` tokens."""
-    low, high = 0.0, 50.0 * cap
-    for _ in range(80):
-        middle = (low + high) / 2
-        if used(cells, cut_points(middle, cap)) < target:
-            low = middle
-        else:
-            high = middle
-    return cut_points((low + high) / 2, cap)
+    """Cut points of the Poisson distribution whose mean is the target repetition rate, corrected for these hashes.
+
+    The rate is the target over the source's tokens.  What its inversion over the hashes gives differs from the
+    target by chance; the rate is corrected, by bisection around it, until the tokens drawn meet the target too.
+    """
+    whole = float(cells.sum())
+    uses = target / whole if whole else 0.0
+    rate = rate_for(uses, cap)
+    if uses < cap:
+        low, high = rate / 8, 8 * rate
+        for _ in range(60):
+            rate = (low + high) / 2
+            low, high = (rate, high) if used(cells, cut_points(rate, cap)) < target else (low, rate)
+    return cut_points(rate, cap)
 
 
 def mix(df: DataFrame, weights: list[Weight], key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 20, total: float | None = None) -> DataFrame:
@@ -73,7 +92,8 @@ def mix(df: DataFrame, weights: list[Weight], key: str = "doc_id", source: str =
     that the tokens drawn, not just expected, meet the target.  Copies are spread by a hash of their own
     over all partitions and in random order within them.
 
-    ``total`` is the number of tokens wanted; by default HEADROOM of what the caps allow at these shares.
+    ``total`` is the number of tokens wanted; by default the most that the caps allow at these shares, at which the
+    scarcest source gives every record as often as it may.
     Where a source can't fill its share within its cap it comes out as often as allowed.  Sources without a
     weight, or with a null one, are left out; the shares of sources without tokens go to the others in
     proportion.  Null and empty texts have no tokens and, like all records, are drawn by their hash.  The
@@ -90,7 +110,7 @@ def mix(df: DataFrame, weights: list[Weight], key: str = "doc_id", source: str =
     present = [w for w in weights if cells[w.source].sum() > 0]
     shares = {w.source: w.share / sum(p.share for p in present) for w in present}
     if total is None:
-        total = HEADROOM * min((w.cap * cells[w.source].sum() / shares[w.source] for w in present), default=0.0)
+        total = min((float(w.cap * cells[w.source].sum() / shares[w.source]) for w in present), default=0.0)
     cuts = {w.source: calibrated(cells[w.source], w.cap, shares[w.source] * total) for w in present}
     plan = spark.createDataFrame([(s, c) for s, c in sorted(cuts.items())], "source string, cuts array<double>")
     drawn = rows.join(F.broadcast(plan), "source").withColumn("uses", F.size(F.filter("cuts", lambda c: F.col("at") > c)))
@@ -101,10 +121,10 @@ def mix(df: DataFrame, weights: list[Weight], key: str = "doc_id", source: str =
 
 
 def shares(mixed: DataFrame, weights: list[Weight], source: str = "source") -> DataFrame:
-    """What was reached: source, target_share, tokens, share, records (with copies) and the most uses of one."""
+    """What was reached: source, target_share, tokens, share, shortfall, records (with copies) and the most uses of one."""
     spark = mixed.sparkSession
     targets = spark.createDataFrame([(w.source, w.share, w.cap) for w in weights], "source string, target_share double, max_repeats int")
     got = mixed.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records"), F.max("copy").alias("most_uses"))
     both = targets.join(got, "source", "left").fillna(0, ["tokens", "records", "most_uses"])
     everything = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    return both.withColumn("share", F.when(everything > 0, F.col("tokens") / everything).otherwise(F.lit(0.0)))
+    return both.withColumn("share", F.when(everything > 0, F.col("tokens") / everything).otherwise(F.lit(0.0))).withColumn("shortfall", F.greatest(F.col("target_share") - F.col("share"), F.lit(0.0)))

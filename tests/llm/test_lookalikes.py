@@ -47,6 +47,13 @@ def test_visible_differences_stay(form, a, b):
     assert form(a) != form(b)
 
 
+@pytest.mark.parametrize(
+    "a, b", [("a\u202eb\u202c", "ab"), ("a\u2066b\u2069", "ab"), ("a\ufe01b", "ab"), ("ab\u3164", "ab"), ("\u2f00\u2f63", "一生"), ("h\u0251t", "hat"), ("a\U000e0101", "a"), ("\u180bx", "x")]
+)
+def test_invisible_characters_and_other_look_alikes(form, a, b):
+    assert form(a) == form(b)
+
+
 def test_other_scripts_keep_their_letters(form):
     for text in ("каждый отчёт", "новый район после проверки", "Ετήσια σύμβαση", "设域电录", "المجموع 12", "हिन्दी"):
         assert form(text) == unicodedata.normalize("NFC", text)
