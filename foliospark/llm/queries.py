@@ -172,12 +172,20 @@ def _looks_sql() -> str:
     return f"replace({looks}, chr(13) || chr(10), chr(10))"
 
 
+def _accented_sql(text: str) -> str:
+    """Look-alike letters whose accent has no composed form in Latin, replaced."""
+    for c, t in lookalikes.CLASSES.items():
+        if len(t) > 1:
+            text = f"replace({text}, {_quoted(chr(c))}, {_quoted(t)})"
+    return text
+
+
 ORACLE: dict[str, str] = {
     "p1_cover": rf"""
 SELECT c.chunking_name, d.doc_id, CAST(d.words AS BIGINT) AS covered, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS wrong
 FROM (SELECT doc_id, len(regexp_extract_all(text, '[^{_SPACE}]+')) AS words FROM documents WHERE text IS NOT NULL) d, chunking c""",
     "p8_found": f"""
-WITH looks AS (SELECT DISTINCT doc_id, text, nfc_normalize(translate(nfc_normalize({_looks_sql()}), {_letters(2)}, {_letters(3)})) AS look FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+WITH looks AS (SELECT DISTINCT doc_id, text, nfc_normalize(translate({_accented_sql(f"nfc_normalize({_looks_sql()})")}, {_letters(2)}, {_letters(3)})) AS look FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM looks a JOIN looks b USING (look) WHERE a.doc_id < b.doc_id AND a.text <> b.text AND regexp_matches(look, '[^{_SPACE}]')""",
     "p5_sample": f"{_SAMPLE} SELECT * FROM query_sample UNION ALL SELECT * FROM document_sample",
     "p7_bounds": """
