@@ -1,48 +1,43 @@
-"""Repair of text from scanned pages: an averaged-perceptron character editor and page-position features."""
+"""Repair of text from scanned pages: a character editor trained as an averaged perceptron, and a model of page positions."""
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm import editor as ed
+from foliospark.llm import pages as pg
+from foliospark.llm.editor import Break, Edit, Editor, Lexicon
 from foliospark.llm.lookalikes import _OTHER_SCRIPT, CLASSES, fold
+from foliospark.llm.pages import Pages
 from foliospark.session import spread, written
 
-# What a scanner reads (first) for what is printed, in the form that look-alikes share.
-MISREADINGS = """
-c e  o a  ! i  f t  ri n  5 s  0 o  1 l  1 i  ii u  ii ü  cl d  rn m  b h  ( c  9 g  v y  6 b  8 b  vv w
-6 é  6 ó  6 o  6 б  l i  i l  m in  m rn  h li  3 з  8 в  0 о
-п и  п л  п н  п η  г т  г τ  σ α  σ o  n π  1 ι  v ν  υ v  ь ы
-"""
-_PAIRS = [tuple(p.split()) for line in MISREADINGS.split("\n") for p in line.split("  ") if p.strip()]
-PRINTED: dict[str, list[str]] = defaultdict(list)
-READ: dict[str, list[str]] = defaultdict(list)
-for _noisy, _clean in _PAIRS:
-    PRINTED[_noisy].append(_clean)
-    READ[_clean].append(_noisy)
-
-#: Words of the lexicon: the commonest of the corpus. The bound makes it fit for broadcasting at any scale.
-LEXICON_WORDS = 60_000
-#: Words of the lexicon that the editor is trained on, and passes over them.
-TRAINING_WORDS, PASSES = 3_000, 8
+#: The commonest words of the corpus: training words and their counts are taken from these, and texts don't ask for those
+#: of them that are right.  All other words are looked up in the table of all words.
+COMMON_WORDS = 60_000
+#: Pairs of words a step apart, texts, and words beside numbers that training takes at most.
+TRAINING_PAIRS, NUMBER_WORDS = 20_000, 1_000
 
 HYPHENS = "-‐¬­="
+SOFT = "¬­="
 _BROKEN = re.compile(rf"[{HYPHENS}](?<=[^\W\d_].)[ \t]*\n[\s\x0c]*(?=[^\W\d_])")
 _LINE_MARK = re.compile(rf"[{HYPHENS}][ \t\r]*[\n\x0c]")
 _WORD = re.compile(r"[^\W_]+(?:[!(](?=[^\W\d_])[^\W_]+)*")
 _OPEN_WORD = re.compile(r"(?<=\s)[(!](?=[a-zß-öø-ÿα-ώа-я])[^\W_]+(?:[!(](?=[^\W\d_])[^\W_]+)*")
 _OPEN = re.compile(r"\s[(!][a-zß-öø-ÿα-ώа-я]")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
-_ODD = re.compile(r"[0-9!(]")
-_CODE = re.compile(r"[A-Z0-9]+|\d+[a-z]{0,3}|[a-z]{1,3}\d+")
+_HANGING = re.compile(r"[^\W\d_]- ([^\W\d_]+)")
+_CODE = re.compile(r"[A-Z0-9]*\d[A-Z0-9]*|[^\W\d_a-zß-öø-ÿα-ώа-яё]+|\d+[a-z]{0,3}|[a-z]{1,3}\d+")
+_CAPITALS = re.compile(r"(?!.*SS)[A-Z][A-Z]{1,}\d?[A-Z]{3,}")
+_LEFT, _RIGHT = re.compile(r"[^\W\d_]+$"), re.compile(r"\s*([^\W\d_]+)")
+_CELL = re.compile(r"\.{3,}| : |:$|^\W*$")
+_OPENER = re.compile(r"[#*•→>·▪(\[{]|[-–—] ")
 
 
 def canonical(text: str) -> str:
@@ -62,504 +57,441 @@ def words_of(text: str) -> set[str]:
 
 
 def plain(word: str) -> str | None:
-    """A word as the lexicon has it, in lower case; None for numbers, codes and very long words."""
-    if len(word) > 40 or _CODE.fullmatch(word):
-        return None
-    return word.lower()
-
+    """A word as it is counted, in lower case; None for numbers and codes.
 
-def _bucket(count: float) -> int:
-    return int(math.log2(count + 1))
-
-
-@dataclass
-class Editor:
-    """Predicts, for the characters of a word, keep, replace, delete and insert operations.
-
-    A misreading of one character for one is a replacement; of two for one a replacement and a deletion; of
-    one for two a replacement and an insertion.  The hypothesis whose operations score best is taken.
+    Codes are digits with a few letters, and capitals with digits among them or alone, unless they are long and plain
+    enough to be a word set in capitals (their look-alikes are classed as capitals, so only words of ASCII letters are asked).
     """
-
-    lexicon: dict[str, int]
-    floor: int = 1
-    weights: dict[tuple, float] = field(default_factory=dict)
-
-    def count(self, word: str) -> int:
-        return self.lexicon.get(word, 0)
-
-    def edits(self, word: str) -> Iterator[tuple[str, tuple]]:
-        """Words that one misreading would turn into ``word``."""
-        for i in range(len(word)):
-            for size in (1, 2):
-                for clean in PRINTED.get(word[i : i + size], ()) if i + size <= len(word) else ():
-                    yield word[:i] + clean + word[i + size :], (i, word[i : i + size], clean)
-
-    def hypotheses(self, word: str, hidden: str | None = None) -> list[tuple[str, tuple]]:
-        """Keeping the word, and what up to two misreadings could have made of known words.
-
-        A result outside the lexicon is only thought of where a digit or mark stands among letters.
-        """
-        found: dict[str, tuple] = {word: ()}
-        single = list(self.edits(word))
-        for result, edit in single:
-            if result != hidden and self.count(result):
-                found.setdefault(result, (edit,))
-        if len(found) == 1 and len(word) >= 6:
-            for result, edit in single:
-                at = edit[0]
-                if edit[1] in ("0", "1", "5", "6", "8", "9", "!", "(", "3") and word[max(0, at - 2) : at].isalpha() and at > 1 and word[at + 1 : at + 3].isalpha() and result.isalpha():
-                    found.setdefault(result, (edit,))
-        if len(word) >= 5 and len(found) == 1:
-            for middle, edit in single:
-                for result, other in self.edits(middle):
-                    if other[0] > edit[0] and result != hidden and self.count(result):
-                        found.setdefault(result, (edit, other))
-        return list(found.items())
-
-    def features(self, word: str, count: int, result: str, edits: tuple, hidden: str | None = None) -> list[tuple]:
-        known = 0 if result == hidden else self.count(result)
-        odd = bool(_ODD.search(word))
-        if not edits:
-            return [("keep",), ("keep odd", odd), ("keep long", odd, min(len(word), 6)), *(("keep from", k) for k in range(min(_bucket(count), 10)))]
-        ratio = math.log10((known + 1) / (count + 1))
-        out: list[tuple] = [("edits", len(edits), min(len(word), 8), known > 0), *(("result from", k) for k in range(min(_bucket(known), 12)))]
-        out += [("ratio from", k) for k in range(9) if ratio >= k / 3]
-        for at, noisy, clean in edits:
-            before, after = word[at - 1 : at], word[at + len(noisy) : at + len(noisy) + 1]
-            kind = "replace" if len(noisy) == len(clean) else "delete" if len(noisy) > len(clean) else "insert"
-            out += [(kind, known > 0), ("pair", noisy, clean), ("sides", noisy in "0156893!(", before.isalpha(), after.isalpha(), known > 0)]
-        return out
-
-    def score(self, features: list[tuple]) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in features)
-
-    def best(self, word: str, count: int, hidden: str | None = None) -> tuple[str, tuple]:
-        return max(self.hypotheses(word, hidden), key=lambda h: (self.score(self.features(word, count, h[0], h[1], hidden)), -len(h[1]), h[0]))
-
-    def __call__(self, word: str) -> str:
-        """The word as printed."""
-        said = self.best(word, max(self.count(word), self.floor))[0]
-        return word if word[0] in "(!" and self.count(word[1:]) >= self.count(said) else said
-
-    def train(self, size: int = TRAINING_WORDS, passes: int = PASSES) -> Editor:
-        """Averaged perceptron on words of the lexicon, misread by the table, and the same words left alone.
-
-        The sample of at most ``size`` words is fixed by their hashes.  A misread word gets the count that
-        such misreadings have beside the word's own; half the words are hidden from the lexicon while they are
-        trained on, so that names and rare words are kept unless digits or marks give them away.
-        """
-        key = lambda w: hashlib.md5(w.encode()).digest()
-        # Words that a misreading of a far commoner word would explain can't serve as good ones.
-        sound = lambda w, n: not any(self.count(r) > 10 * n for r, _ in self.edits(w))
-        plain = sorted((w for w, n in self.lexicon.items() if n >= 20 and w.isalpha() and len(w) > 2 and sound(w, n)), key=key)[:size]
-        mixed = sorted((w for w in self.lexicon if _ODD.search(w) and not self._looks_misread(w)), key=key)[:size]
-        samples: list[tuple[str, int, str, str | None]] = [(w, self.count(w), w, None) for w in mixed]
-        for w in plain:
-            seed = int.from_bytes(key(w)[:8], "big")
-            n = self.count(w)
-            samples += [(w, n, w, None), (w, 1 + seed % 3, w, w)]
-            places = [(i, c, noisy) for i in range(len(w)) for z in (1, 2) if i + z <= len(w) for c in [w[i : i + z]] for noisy in READ.get(c, ())]
-            for turn in range(2):
-                if places:
-                    i, c, noisy = places[(seed >> (8 * turn)) % len(places)]
-                    misread = w[:i] + noisy + w[i + len(c) :]
-                    if self.count(misread) < n * 0.05:
-                        samples.append((misread, max(1, int(n * (0.002, 0.01, 0.03)[seed % 3])), w, None))
-                        if noisy in "0156893!(":
-                            samples.append((misread, 1, w, w))
-                        else:
-                            samples.append((misread, 1 + seed % 3, misread, w))
-        total: dict[tuple, float] = defaultdict(float)
-        seen = 0
-        for turn in range(passes):
-            for word, count, gold, hidden in sorted(samples, key=lambda s: key(f"{turn}{s[0]}{s[2]}{s[3]}")):
-                seen += 1
-                said, edits = self.best(word, count, hidden)
-                if said != gold:
-                    right = next((e for r, e in self.hypotheses(word, hidden) if r == gold), None)
-                    if right is None:
-                        continue
-                    for sign, features in ((1.0, self.features(word, count, gold, right, hidden)), (-1.0, self.features(word, count, said, edits, hidden))):
-                        for f in features:
-                            self.weights[f] = self.weights.get(f, 0.0) + sign
-                            total[f] += sign * seen
-        for f in self.weights:
-            self.weights[f] -= total[f] / max(seen, 1)
-        return self
-
-    def _looks_misread(self, word: str) -> bool:
-        return any(result.isalpha() for result, _ in self.edits(word))
-
-
-# ---- Pages -------------------------------------------------------------------------------------------
-
-_NUMBER = r"(?:[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\]|\d{1,4}/\d{1,4}|p\. ?\d{1,4}|(?:Page|Seite|Página|Σελίδα|Страница) \d{1,4}(?: (?:of|von|de|sur|из|από) \d{1,4})?)"
-# Up to 399: larger ones are hardly page numbers, and words such as "mix" are.
-_ROMAN = r"(?:c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
-_ALONE = re.compile(rf"(?:{_NUMBER}|\d{{1,4}}|(?=[clxvi]){_ROMAN})")
-_BEFORE = re.compile(rf"({_NUMBER}|\d{{1,4}}|(?=[clxvi]){_ROMAN})(?: {{2,}}|\t+| \| )(.+)")
-_AFTER = re.compile(rf"(.+?)(?: {{2,}}|\t+| \| )({_NUMBER}|\d{{1,4}}|(?=[clxvi]){_ROMAN})")
-_PARTS = re.compile(r" {2,}|\t+| \| ")
-_CELL = re.compile(r"\.{3,}| : |:$|^\W*$")
-#: What joins two prefixes of one word, as in "pre- and post-".
-_AND = re.compile(r"(?:and|or|und|oder|et|ou|y|o|и|или|και|ή)$", re.IGNORECASE)
-_ENDED = re.compile(r"[.!?;:…。！？][\"')\]”’»]*$")
-_DIGIT = re.compile(r"\d")
-_SENTENCE = re.compile(r"(?<!\bVol)(?<!\bNo)(?<!Bros)(?<!BROS)(?<!bros)\. ")
-_OPENER = re.compile(r"[#*•→>·▪(\[{]|[-–—] ")
+    if _CODE.fullmatch(word) and not (_CAPITALS.fullmatch(word) and (word.isalpha() or len(word) > 6)):
+        return None
+    return word.lower()
 
 
-def head_parts(line: str) -> list[str]:
-    """What identifies a running head: its parts' words in lower case; none if the line can't be one."""
-    if not (line[0].isupper() or line[0].isdigit()) or len(line) > 120 or ", " in line or ": " in line or "; " in line or " : " in line or "..." in line:
-        return []
-    if line[-1] in ".!?;:…。！？,-" and not line.lower().endswith("bros.") or len(_DIGIT.findall(line)) > 4:
-        return []
-    if ". " in line and _SENTENCE.search(line) or "! " in line or "? " in line:
-        return []
-    parts = [p.split() for p in _PARTS.split(line) if p] if "  " in line or "\t" in line or " | " in line else [line.split()]
-    if not any(len(w) > 1 and sum(map(len, w)) > 5 for w in parts) or len(parts) > 2 and any(len(w) == 1 for w in parts):
-        return []
-    return [" ".join(w).lower() for w in parts if len(w) > 1]
+def breaks(text: str, skip: Iterable[int] = ()) -> Iterator[tuple[int, int, Break]]:
+    """Marks at the ends of lines between two parts of words: line, the next line with content, and the parts.  Lines of ``skip`` don't count."""
+    lines, skip = pg.lines_of(text), set(skip)
+    for i, raw in enumerate(lines[:-1]):
+        line = raw.rstrip()
+        if not line or line[-1] not in HYPHENS or i in skip:
+            continue
+        left = _LEFT.search(line[:-1])
+        if not left:
+            continue
+        j = i + 1
+        while j < len(lines) and (not lines[j].strip() or j in skip):
+            j += 1
+        right = _RIGHT.match(lines[j]) if j < len(lines) else None
+        if not right or right[1][0].isupper() and not left[0].isupper():
+            continue
+        a = left[0]
+        before = line[-2 - len(a) : -1 - len(a)]
+        yield i, j, Break(a, right[1], line[-1] in SOFT, before in ("-", "‐", "‑") and before != "", before.isdigit() or lines[j].strip()[len(right[1]) : len(right[1]) + 1].isdigit())
 
 
 @dataclass
-class Line:
-    """A line of a page with what speaks for its being furniture."""
-
-    at: int
-    text: str
-    parts: tuple[str, ...] = ()
-    number: str | None = None
-    alone: bool = False
-    score: float = 0.0
-
-
-def year_like(number: str) -> bool:
-    """Whether a bare number may be a year."""
-    return len(number) == 4 and number[0] in "12" and 1500 <= int(number) <= 2100
-
-
-def styled(line: str) -> bool:
-    """Whether a line is set in capitals, or with capitals on all longer words."""
-    longer = [w for w in re.findall(r"[^\W\d_]{4,}", line)]
-    return bool(longer) and all(w[0].isupper() for w in longer)
+class Reader:
+    """Reads a text: what it shows of furniture, line ends, and words that need looking up."""
 
+    pages: Pages
+    common: frozenset[str] = frozenset()
 
-def furniture(text: str) -> list[Line]:
-    """Page numbers and possible running heads of a canonical text, scored by position on the page and repetition."""
-    lines = text.replace("\x0c", "\n\x0c\n").split("\n")
-    found: list[Line] = []
-    for i, raw in enumerate(lines):
-        line = raw.strip()
-        if not line or len(line) > 130 or line == "\x0c":
-            continue
-        c = line[0]
-        if not (c.isupper() or c.isdigit() or c in "-–—[pclxvi"):
-            continue
-        if len(line) < 24 and _ALONE.fullmatch(line):
-            found.append(Line(i, line, number=line, alone=True))
-            continue
-        number = rest = None
-        if c in "-–—[pclxvi0123456789PSΣС" and (m := _BEFORE.fullmatch(line)):
-            number, rest = m[1], m[2]
-        elif ("  " in line or "\t" in line or " | " in line) and (m := _AFTER.fullmatch(line)):
-            rest, number = m[1], m[2]
-        parts = head_parts((rest or line).strip())
-        if not parts:
-            continue
-        if number and len((rest or "").split()) < 2:
-            number = None
-        found.append(Line(i, line, tuple(parts), number))
-    if not found:
-        return []
-    repeated = Counter(p for x in found for p in set(x.parts))
-    lengths = sorted(len(x) for x in lines if x.strip())
-    full = 0.6 * lengths[len(lengths) * 9 // 10]
-    at_lines = {x.at: x for x in found}
-    numbers = [x for x in found if x.alone and x.number.isdigit()]
-    runs = {x.at for a, b in zip(numbers, numbers[1:]) if 0 < int(b.number) - int(a.number) <= 2 for x in (a, b)}
-
-    def near(i: int, step: int) -> int | None:
-        j = i + step
-        while 0 <= j < len(lines) and not lines[j].strip(" \t\r"):
-            j += step
-        return j if 0 <= j < len(lines) else None
-
-    for x in found:
-        before, after = near(x.at, -1), near(x.at, 1)
-        page_edge = any(j is None or "\x0c" in lines[j] or (j in at_lines and at_lines[j].alone) for j in (before, after))
-        # Content around the line, beyond other furniture.
-        up, down = before, after
-        for _ in range(4):
-            if up is not None and ("\x0c" in lines[up] or up in at_lines):
-                up = near(up, -1)
-            if down is not None and ("\x0c" in lines[down] or down in at_lines):
-                down = near(down, 1)
-        cut = up is not None and down is not None and not _ENDED.search(lines[up].strip()) and lines[down].strip()[:1].islower() and len(lines[up].strip()) >= full and not _PARTS.search(lines[up].strip())
-        if x.alone:
-            bare = x.number.isdigit()
-            x.score = 3.0 if not bare else 3.0 if x.at in runs else 0.0 if year_like(x.number) else 2.5 if page_edge or cut else 1.0
-            if not bare and x.number.isalpha() and not (page_edge or cut or len(x.number) > 2):
-                x.score = 1.0
-            continue
-        times = max(repeated[p] for p in x.parts)
-        x.score = (
-            2.0 * (times > 1)
-            + 1.0 * (times > 2)
-            + 2.0 * (x.number is not None)
-            + 1.0 * page_edge
-            + 2.0 * (cut and (styled(x.text) or times > 1))
-            - 1.0 * (after is not None and after > x.at + 1 and not page_edge and not cut)
-        )
-    return found
+    def __call__(self, text: str) -> tuple[list[pg.Line], list[tuple[int, int, Break]], set[str]]:
+        """Of a canonical text the possible furniture, the marks at line ends, and its words outside ``common`` as they stand."""
+        lines = self.pages(text)
+        found = list(breaks(text, (x.at for x in lines if x.score > 0))) if _LINE_MARK.search(text) else []
+        words = {w for w in words_of(text) if (p := plain(w)) is not None and len(p) > 2 and p not in self.common}
+        if found:  # the parts of words that furniture keeps apart are no words
+            words -= {part for _, j, b in found for part in (b.left, b.right)}
+        return lines, found, words
 
 
-#: Scores from which a line is furniture, by itself or where its bundle shows it to be a running head.
-SURE, LIKELY = 3.0, 1.0
-#: Documents of a bundle that must show a line at a page's edge for it to count as the bundle's head.
-SHARED = 3
+def _drop(lines: list[pg.Line], heads: set[str]) -> set[int]:
+    return {x.at for x in lines if x.score > 0 or x.shown and not heads.isdisjoint(x.parts)}
 
 
-def breaks(text: str, lexicon: dict[str, int], skip: set[int] | None = None) -> Iterator[tuple[int, int, str, str, bool]]:
-    """Words broken over a line end: line, next line, left and right part, and whether the mark is the scanner's.
+def repaired_text(text: str, reader: Reader, heads: set[str], line_ends: Mapping[Break, str], printed: Mapping[str, str]) -> str:
+    """One text as continuous paragraphs: furniture removed, broken words joined, misread words restored.
 
-    The line-join operation: the joined word, the compound and the parts are looked up, and what is commoner
-    wins; if neither is known, parts that are words by themselves speak for a compound.
+    ``heads`` are those that other texts show, ``line_ends`` the operations at line ends, ``printed`` the misread words.
     """
-    lines = text.replace("\x0c", "\n").split("\n")
-    for i, raw in enumerate(lines[:-1]):
-        line = raw.rstrip()
-        if not line or line[-1] not in HYPHENS or skip and i in skip:
-            continue
-        left = re.search(r"[^\W\d_]+$", line[:-1])
-        j = i + 1
-        while j < len(lines) and (not lines[j].strip() or skip and j in skip):
-            j += 1
-        right = re.match(r"\s*([^\W\d_]+)", lines[j]) if j < len(lines) and j <= i + 12 else None
-        if not left or not right:
-            continue
-        a, b = left[0], right[1]
-        if b[0].isupper() and not a.isupper():
+    text = fold(text)
+    shape = canonical(text)
+    lines = reader.pages(shape)
+    drop = _drop(lines, heads)
+    joins = {i: line_ends.get(b, "apart") for i, _, b in breaks(shape, drop)}
+    out: list[str] = []
+    paragraph, glue = "", False
+    for i, line in enumerate(pg.lines_of(text)):
+        line = line.strip("\x0c \t\r")
+        if i in drop or not line:
+            if not line and paragraph and not glue and pg.ENDED.search(paragraph):
+                out.append(paragraph)
+                paragraph = ""
             continue
-        joined, compound = lexicon.get((a + b).lower(), 0), lexicon.get(f"{a}-{b}".lower(), 0)
-        chained = line[: -1 - len(a)].endswith(("-", "‐", "‑"))
-        before = line[-2 - len(a) : -1 - len(a)]
-        if not joined and (a.isupper() and len(a) < 5 or before.isdigit()):
-            broken = False  # a code
-        elif line[-1] not in "-‐":
-            broken = not chained
-        elif joined or compound:
-            broken = joined > compound
+        if not paragraph:
+            paragraph = line
+        elif glue:
+            paragraph += line
+        elif pg.ENDED.search(paragraph) and not line[0].islower() or _OPENER.match(line) or _CELL.search(line) or pg.PARTS.search(line) or pg.head_parts(canonical(line)) and pg.styled(line) or pg.head_parts(canonical(paragraph)) and pg.styled(paragraph):
+            if pg.ENDED.search(paragraph) and line[0].isalpha() and "\n" not in paragraph and not (_CELL.search(line) or pg.PARTS.search(line) or _OPENER.match(line)):
+                paragraph += " " + line
+            else:
+                out.append(paragraph)
+                paragraph = line
         else:
-            known = lambda w: lexicon.get(w.lower(), 0) > 5 and len(w) > 2
-            broken = not chained and not (known(a) and known(b)) and (len(a) > 1 or len(b) > 2) and not _AND.match(b)
-        yield i, j, a, b, broken
+            paragraph += " " + line
+        glue = joins.get(i, "apart") != "apart"
+        if joins.get(i) == "join":
+            paragraph = paragraph[:-1]
+    if paragraph:
+        out.append(paragraph)
+    whole = "\n\n".join(out)
+    if printed:
+
+        def fix(m: re.Match[str]) -> str:
+            word = plain(canonical(m[0]))
+            right = printed.get(word) if word is not None else None
+            if right is None:
+                return m[0]
+            letters = [c for c in m[0] if c.isalpha()]
+            return right.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else right.capitalize() if m[0][0].isupper() or (m[0][0] in "0156893" and m[0][1:2].isupper()) else right
+
+        whole = _OPEN_WORD.sub(fix, _WORD.sub(fix, whole)) if _OPEN.search(whole) else _WORD.sub(fix, whole)
+    return whole
 
 
-# ---- Spark ---------------------------------------------------------------------------------------------
+# ---- Words of the corpus -----------------------------------------------------------------------------------
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that hold each word; "a-b" for compounds, "- b" after a hanging hyphen, and for a word that stands with a number on lines of its own "# w", "= w" if always the same number, "~ w" if not."""
     counts: Counter[str] = Counter()
+    raw: Counter[str] = Counter()
 
     def give() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
-
-    def fold_case() -> None:
         for word, n in raw.items():
             w = plain(word)
             if w:
                 counts[w] += n
         raw.clear()
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        counts.clear()
+        return out
 
-    raw: Counter[str] = Counter()
     for batch in batches:
         for value in batch.column(0).to_pylist():
             text = canonical(value)
             raw.update(words_of(text))
             if "-" in text:
-                counts.update({c.lower() for part in text.split() if "-" in part for c in _COMPOUND.findall(part) if len(c) <= 40})
-        if len(raw) > 300_000:
-            fold_case()
+                counts.update({c.lower() for part in text.split() if "-" in part for c in _COMPOUND.findall(part)})
+                counts.update({f"- {w.lower()}" for w in _HANGING.findall(text)})
+            worded: dict[str, list[str]] = {}
+            for line in text.split("\n"):
+                if line[:1].isupper() and len(line) < 32 and line[-1:].isdigit() and (w := pg.number_word(line.strip())):
+                    worded.setdefault(w, []).append(line.strip())
+            for w, own in worded.items():
+                counts[f"# {w}"] += 1
+                if len(own) > 1:
+                    counts[f"{'=' if len(set(own)) == 1 else '~'} {w}"] += 1
+        if len(raw) > 300_000 or len(counts) > 300_000:
             yield give()
-    fold_case()
     yield give()
 
 
-def train(df: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> Editor:
-    """The lexicon of the commonest words (by documents, over all texts) and the editor trained on it.
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: how many texts hold each word, over all texts and words."""
+    rows = spread(df.select(F.col(f"`{text}`").alias("t")).where("t is not null"))
+    return rows.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-    The lexicon has at most ``words`` entries, whatever the size of the corpus; words beyond it count as
-    rare as its rarest.
-    """
-    counted = spread(df.select(F.col(f"`{text}`").alias("t")).where("t is not null")).mapInArrow(_count_words, "word string, n bigint")
-    rows = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
-    editor = Editor({r[0]: r[1] for r in rows}, floor=rows[-1][1] if len(rows) == words else 1)
-    return editor.train()
 
+def number_words(counts: Mapping[str, int]) -> dict[str, int]:
+    """Words that stand beside page numbers, by how much of their use that is: 1 to 3."""
+    found = {}
+    for key, n in counts.items():
+        if key.startswith("# ") and n >= 3:
+            word = key[2:]
+            share = n / max(counts.get(word, 0), n)
+            if share >= 0.05 and counts.get(f"~ {word}", 0) >= counts.get(f"= {word}", 0):
+                found[word] = 1 if share < 0.2 else 2 if share < 0.6 else 3
+    return found
 
-class Reader:
-    """Finds the noise of a text with a trained editor; decisions on words are kept, up to a bound."""
 
-    BOUND = 600_000
+def _patterns(words: DataFrame) -> DataFrame:
+    """Each word with the hashes of what stands around its regions of one and two characters: word, n, size, pattern."""
+    one = "transform(filter(sequence(1, length(word)), i -> length(word) > 2), i -> struct(1 as size, xxhash64(substring(word, 1, i - 1), substring(word, i + 1)) as pattern))"
+    two = "transform(filter(sequence(1, length(word) - 1), i -> length(word) > 3), i -> struct(2 as size, xxhash64(substring(word, 1, i - 1), substring(word, i + 2)) as pattern))"
+    return words.where("length(word) > 2").select("word", "n", F.explode(F.expr(f"concat({one}, {two})")).alias("r")).select("word", "n", "r.size", "r.pattern")
 
-    def __init__(self, editor: Editor):
-        self.editor = editor
-        self.clean: set[str] = set()
-        self.wrong: dict[str, str] = {}
 
-    def misread(self, text: str) -> dict[str, str]:
-        """The misread words of a canonical text, as they stand, and what was printed, in lower case."""
-        words = words_of(text)
-        if len(self.clean) > self.BOUND:
-            self.clean.clear()
-        for word in words - self.clean:
-            if word in self.wrong:
-                continue
-            w = plain(word)
-            said = w if w is None or len(w) < 3 else self.editor(w)
-            if said == w:
-                self.clean.add(word)
-            else:
-                self.wrong[word] = said
-        return {w: self.wrong[w] for w in words.intersection(self.wrong)} if self.wrong else {}
-
-    def noise(self, text: str) -> tuple[list[str], list[tuple[str, float]]]:
-        """Kinds of noise that the text itself shows, and its possible running heads with their scores."""
-        text = canonical(text)
-        lines = furniture(text)
-        kinds = set()
-        skip = {x.at for x in lines if x.score >= SURE or x.alone and x.score >= 2}
-        if _LINE_MARK.search(text) and any(b[-1] for b in breaks(text.replace("\x0c", "\n\x0c\n"), self.editor.lexicon, skip)):
-            kinds.add("hyphen")
-        heads: dict[str, float] = {}
-        for x in lines:
-            if x.alone and x.score >= 2 or x.number and x.score >= SURE:
-                kinds.add("pageno")
-            for p in x.parts:
-                heads[p] = max(heads.get(p, 0.0), x.score)
-        if self.misread(text):
-            kinds.add("glyph")
-        return sorted(kinds), [(k, s) for k, s in heads.items() if s >= LIKELY]
-
-
-def _scan(df: DataFrame, editor: Editor, key: str, text: str, bundle: str | None) -> DataFrame:
-    """Of every text: key, bundle, kinds of noise, possible heads."""
-    shared = df.sparkSession.sparkContext.broadcast((editor.lexicon, editor.floor, editor.weights))
-    key_type = df.schema[key].dataType.simpleString()
+def step_pairs(words: DataFrame) -> DataFrame:
+    """word, n, printed, known, at, noisy, clean: every word with every printed one that one edit of one or two characters away.
+
+    Words meet by what stands around the characters that differ, in a join over the whole table of words: a pattern
+    leaves at most two characters open, so no key has more words than pairs of characters.
+    """
+    single = words.where("word not rlike '^[-#=~] ' and word not like '%-%'")
+    printed = _patterns(single.where(f"n >= {ed.PRINTED} and word rlike '^\\\\p{{L}}+$'")).select(F.col("word").alias("printed"), F.col("n").alias("known"), F.col("size").alias("size_"), "pattern")
+    met = _patterns(single).join(printed, "pattern").where(f"size + size_ < 4 and word <> printed and known >= {ed.RATIO} * n").select("word", "n", "printed", "known").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Editor(*shared.value))
-        kind = pa.list_(pa.struct([("head", pa.string()), ("score", pa.float64())]))
         for batch in batches:
-            found = [reader.noise(t) for t in batch.column(2).to_pylist()]
-            heads = pa.array([[{"head": k, "score": s} for k, s in h] for _, h in found], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k for k, _ in found], pa.list_(pa.string())), heads], [key, "bundle", "kinds", "heads"])
+            edits = [ed.between(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            good = pa.array([e is not None for e in edits], pa.bool_())
+            kept = [e for e in edits if e is not None]
+            own = pa.RecordBatch.from_arrays(batch.columns, ["word", "n", "printed", "known"]).filter(good)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([e.at for e in kept], pa.int32()), pa.array([e.noisy for e in kept], pa.string()), pa.array([e.clean for e in kept], pa.string())], ["word", "n", "printed", "known", "at", "noisy", "clean"])
 
-    group = F.col(f"`{bundle}`").cast("string") if bundle else F.lit(None).cast("string")
-    rows = df.select(F.col(f"`{key}`"), group.alias("bundle"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    return spread(rows).mapInArrow(run, f"`{key}` {key_type}, bundle string, kinds array<string>, heads array<struct<head: string, score: double>>")
+    return met.mapInArrow(run, "word string, n bigint, printed string, known bigint, at int, noisy string, clean string")
 
 
-def _heads(scanned: DataFrame, key: str) -> DataFrame:
-    """The running heads of every text: those it shows itself, and likely ones that other texts show for sure."""
-    heads = scanned.select(key, "bundle", F.explode("heads").alias("h")).select(key, "bundle", "h.head", "h.score")
-    sure, likely = heads.where(F.col("score") >= SURE), heads.where(F.col("score") < SURE)
-    shared = likely.where("bundle is not null").groupBy("bundle", "head").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SHARED)
-    return (
-        sure.select(key, "head")
-        .union(likely.join(sure.select("head").distinct(), "head", "left_semi").select(key, "head"))
-        .union(likely.join(shared, ["bundle", "head"], "left_semi").select(key, "head"))
-    )
+@dataclass
+class Model:
+    """What a corpus teaches: its words with counts, words a step apart, the trained editor and page model, and common words that are right."""
 
+    words: DataFrame
+    pairs: DataFrame
+    editor: Editor
+    pages: Pages
+    common: frozenset[str]
+    wrong: DataFrame
 
-def find_noise(df: DataFrame, key: str = "doc_id", text: str = "text", bundle: str | None = "bundle_id", editor: Editor | None = None) -> DataFrame:
-    """One row per text and kind of noise in it: the key and ``noise`` (hyphen, glyph, header or pageno).
 
-    A running head shows by repetition within its text, by cutting a sentence, by a page number or page end
-    beside it, or by standing at page edges of other texts of the same bundle.  Null, empty and blank texts
-    have no noise; without a bundle only the text itself is asked.  A null key is left out; a repeated row
-    counts once.
+def train(df: DataFrame, text: str = "text", editor: Editor | None = None, pages: Pages | None = None) -> Model:
+    """Counts of all words over all texts, and the two perceptrons.
+
+    The perceptrons are trained on the driver on bounded samples: up to COMMON_WORDS words, TRAINING_PAIRS pairs and
+    ``pages.TRAINING_PAGES`` texts, chosen by hash.  Counts, pairs and confusions are of the whole corpus.
     """
-    editor = editor or train(df, text)
-    scanned = written(_scan(df, editor, key, text, bundle).where("size(kinds) > 0 or size(heads) > 0"))
-    own = scanned.select(key, F.explode("kinds").alias("noise"))
-    heads = _heads(scanned, key).select(key, F.lit("header").alias("noise"))
-    return own.union(heads).where(F.col(key).isNotNull()).distinct()
+    rows = df.select(F.col(f"`{text}`").alias("t")).where("t is not null")
+    return of_words(rows, written(word_counts(df, text)), editor, pages)
+
+
+def of_words(rows: DataFrame, words: DataFrame, editor: Editor | None = None, pages: Pages | None = None) -> Model:
+    """``train`` with the words counted."""
+    pairs = written(step_pairs(words))
+    top = words.where("word not rlike '^[#=~] '").orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+    common = {r[0]: r[1] for r in top.collect()}
+    if editor is None:
+        best = pairs.groupBy("word").agg(F.max(F.struct("known", "noisy", "clean")).alias("best")).groupBy("best.noisy", "best.clean").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        channel = {(r[0], r[1]): r[2] for r in best.collect()}  # bounded by the alphabets: characters to the third
+        sample = pairs.orderBy(F.xxhash64("word"), "word", "printed").limit(TRAINING_PAIRS).select("word", "n", "printed", "known").collect()
+        editor = ed.trained(common, [tuple(r) for r in sample], channel)
+    if pages is None:
+        beside = words.where("word rlike '^[#=~] ' and n > 0").orderBy(F.desc("n"), "word").limit(3 * NUMBER_WORDS).collect()
+        counted = dict(common) | {r[0]: r[1] for r in beside}
+        missing = [w[2:] for w in counted if w.startswith("# ") and w[2:] not in counted]
+        counted |= {r[0]: r[1] for r in words.where(F.col("word").isin(missing)).collect()} if missing else {}
+        known = number_words(counted)
+        texts = rows.where("length(t) > 0").orderBy(F.xxhash64("t")).limit(pg.TRAINING_PAGES).collect()
+        pages = pg.trained([canonical(r[0]) for r in texts], known)
+    wrong = written(_wrong(words, pairs, editor))
+    odd = {w for w in common if ed.ODD.search(w)}
+    bad = {r[0] for r in wrong.join(F.broadcast(top.select("word")), "word", "left_semi").select("word").collect()}
+    return Model(words, pairs, editor, pages, frozenset(set(common) - odd - bad), wrong)
+
+
+def _wrong(words: DataFrame, pairs: DataFrame, editor: Editor) -> DataFrame:
+    """word, printed: the misread words of the table and what was printed; each word is decided once, by all it could be."""
+    shared = words.sparkSession.sparkContext.broadcast((editor.channel, editor.perceptron.weights))
+    schema = "word string, gain double, printed string"
+
+    def own() -> Editor:
+        channel, weights = shared.value
+        return Editor(channel, ed.Perceptron(weights))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = own()
+        for batch in batches:
+            word, n, printed, known, at, noisy, clean = (c.to_pylist() for c in batch.columns)
+            gains = [e.gain(w, c, (Edit(a, x, y),), k) for w, c, k, a, x, y in zip(word, n, known, at, noisy, clean)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gains, pa.float64()), batch.column(2)], ["word", "gain", "printed"])
 
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = own()
+        for batch in batches:
+            found = [(w, n, made, [(x.at, x.noisy, x.clean) for x in edits]) for w, n in zip(*(c.to_pylist() for c in batch.columns)) for made, edits in e.guesses(w)]
+            word, n, made, edits = zip(*found) if found else ((), (), (), ())
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("noisy", pa.string()), ("clean", pa.string())]))
+            edits = pa.array([[{"at": a, "noisy": x, "clean": y} for a, x, y in e] for e in edits], kind)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(made, pa.string()), edits], ["word", "n", "made", "edits"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = own()
+        for batch in batches:
+            word, n, made, edits, known = (c.to_pylist() for c in batch.columns)
+            gains = [e.gain(w, c, tuple(Edit(x["at"], x["noisy"], x["clean"]) for x in es), k) for w, c, es, k in zip(word, n, edits, known)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gains, pa.float64()), batch.column(2)], ["word", "gain", "printed"])
 
-def repaired_text(text: str, reader: Reader, heads: set[str]) -> str:
-    """One text as continuous paragraphs: furniture removed, broken words joined, misread words restored."""
-    text = fold(text)
-    shape = canonical(text)
-    drop = {x.at for x in furniture(shape) if x.alone and x.score >= 2 or x.score >= SURE or x.score >= LIKELY and not heads.isdisjoint(x.parts)}
-    lines = [line.rstrip() for line in text.replace("\x0c", "\n\x0c\n").split("\n")]
-    shapes = shape.replace("\x0c", "\n\x0c\n")
-    joins = {i: (j, broken) for i, j, _, _, broken in breaks(shapes, reader.editor.lexicon, drop)}
-    out: list[str] = []
-    paragraph = ""
-    glue = False
-    for i, line in enumerate(lines):
-        line = line.strip("\x0c \t\r")
-        if i in drop or not line:
-            if not line and paragraph and not glue and _ENDED.search(paragraph):
-                out.append(paragraph)
-                paragraph = ""
-            continue
-        if not paragraph:
-            paragraph = line
-        elif glue:
-            paragraph += line
-        elif _ENDED.search(paragraph) and not line[0].islower() or _OPENER.match(line) or _CELL.search(line) or _PARTS.search(line) or head_parts(canonical(line)) and styled(line) or head_parts(canonical(paragraph)) and styled(paragraph):
-            if _ENDED.search(paragraph) and line[0].isalpha() and "\n" not in paragraph and not (_CELL.search(line) or _PARTS.search(line) or _OPENER.match(line)):
-                paragraph += " " + line
-            else:
-                out.append(paragraph)
-                paragraph = line
-        else:
-            paragraph += " " + line
-        glue = i in joins
-        if glue and joins[i][1]:
-            paragraph = paragraph[:-1]
-    if paragraph:
-        out.append(paragraph)
-    whole = "\n\n".join(out)
-    fixes = reader.misread(canonical(whole))
-    if fixes:
+    near = pairs.mapInArrow(one, schema)
+    alone = words.where("length(word) > 2 and word not rlike '^[-#=~] ' and word not like '%-%'").join(pairs.select("word"), "word", "left_anti")
+    guesses = alone.select("word", "n").mapInArrow(guess, "word string, n bigint, made string, edits array<struct<at: int, noisy: string, clean: string>>")
+    known = guesses.join(words.select(F.col("word").alias("made"), F.col("n").alias("known")), "made", "left").select("word", "n", "made", "edits", F.coalesce("known", F.lit(0)).cast("bigint").alias("known"))
+    far = known.where(f"size(edits) = 1 or known >= {ed.RATIO} * n").mapInArrow(several, schema)
+    best = near.union(far).where("gain > 0").groupBy("word").agg(F.max(F.struct("gain", "printed")).alias("best"))
+    return best.select("word", "best.printed")
 
-        def fix(m: re.Match[str]) -> str:
-            right = fixes.get(canonical(m[0]))
-            if right is None:
-                return m[0]
-            letters = [c for c in m[0] if c.isalpha()]
-            return right.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else right.capitalize() if m[0][0].isupper() or (m[0][0] in "0156893" and m[0][1:2].isupper()) else right
 
-        whole = _OPEN_WORD.sub(fix, _WORD.sub(fix, whole)) if _OPEN.search(whole) else _WORD.sub(fix, whole)
-    return whole
+# ---- Evidence of texts -------------------------------------------------------------------------------------
+
+_BREAK = "struct<left: string, right: string, soft: boolean, chained: boolean, code: boolean>"
+_HEAD = "struct<head: string, score: double, first: boolean>"
+
 
+def _evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """Of every row (row, bundle, text): whether it shows page numbers, its possible heads, its marks at line ends, and words to look up."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.pages.perceptron.weights, model.pages.words, model.common))
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, words, common = shared.value
+        read = Reader(Pages(ed.Perceptron(weights), words), common)
+        head = pa.list_(pa.struct([("head", pa.string()), ("score", pa.float64()), ("first", pa.bool_())]))
+        broken = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("soft", pa.bool_()), ("chained", pa.bool_()), ("code", pa.bool_())]))
+        for batch in batches:
+            numbers, heads, ends, open_words = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                lines, found, left = read(canonical(text))
+                numbers.append(any(x.number and x.score > 0 for x in lines))
+                best: dict[str, tuple[float, bool]] = {}
+                for x in lines:
+                    if x.parts and (x.score > 0 or x.shown):
+                        for p in x.parts:
+                            best[p] = max(best.get(p, (x.score, x.first)), (x.score, x.first))
+                heads.append([{"head": p, "score": s, "first": f} for p, (s, f) in best.items()])
+                ends.append([b.__dict__ for b in {b for _, _, b in found}])
+                open_words.append(list({plain(w) for w in left}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers), pa.array(heads, head), pa.array(ends, broken), pa.array(open_words, pa.list_(pa.string()))], ["row", "bundle", "numbers", "heads", "ends", "words"])
+
+    read = spread(rows.where("text is not null")).mapInArrow(run, f"row {kind}, bundle string, numbers boolean, heads array<{_HEAD}>, ends array<{_BREAK}>, words array<string>")
+    return read.where("numbers or size(heads) > 0 or size(ends) > 0 or size(words) > 0")
+
+
+def _heads(evidence: DataFrame, pages: Pages) -> DataFrame:
+    """row, head: running heads that a text shows itself, and those that it shows together with other texts."""
+    heads = evidence.select("row", "bundle", F.explode("heads").alias("h")).select("row", "bundle", "h.head", "h.score", "h.first")
+    sure, maybe = heads.where("score > 0"), heads.where("score <= 0")
+    elsewhere = sure.groupBy("head").agg(F.count(F.lit(1)).alias("elsewhere"))
+    together = maybe.where("bundle is not null").groupBy("bundle", "head").agg(F.count(F.lit(1)).alias("together"))
+    weigh = pages.perceptron.weights.get
+    weights = {}
+    for a in range(3):
+        for b in range(5):
+            for first in (False, True):
+                weights[f"{a} {b} {str(first).lower()}"] = sum(weigh(f, 0.0) for f in pg.shared_features(a, b, first))
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    both = maybe.join(elsewhere, "head", "left").join(together, ["bundle", "head"], "left")
+    fact = F.concat_ws(" ", F.least(F.coalesce("elsewhere", F.lit(0)), F.lit(2)), F.least(F.coalesce("together", F.lit(0)), F.lit(4)), F.col("first"))
+    shown = both.where(F.col("score") + F.element_at(table, fact) > 0)
+    return sure.select("row", "head").union(shown.select("row", "head"))
+
+
+def _line_ends(evidence: DataFrame, model: Model) -> DataFrame:
+    """b, op: every kind of mark at a line end of the corpus with its operation, by the counts of all words it may make."""
+    shared = evidence.sparkSession.sparkContext.broadcast((model.editor.channel, model.editor.perceptron.weights))
+    each = evidence.select(F.explode("ends").alias("b")).distinct()
+    a, b = F.lower("b.left"), F.lower("b.right")
+    keys = each.select("b", F.posexplode(F.array(F.concat(a, b), F.concat_ws("-", a, b), a, b, F.concat(F.lit("- "), b))).alias("role", "word"))
+    counted = keys.join(model.words, "word", "left").groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("role", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))).alias("counts"))
+    flat = counted.select("b.left", "b.right", "b.soft", "b.chained", "b.code", *[F.element_at("counts", F.lit(i)).alias(f"n{i}") for i in range(5)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, weights = shared.value
+        e = Editor(channel, ed.Perceptron(weights))
+        for batch in batches:
+            done = []
+            for left, right, soft, chained, code, *n in zip(*(c.to_pylist() for c in batch.columns)):
+                found = Break(left, right, soft, chained, code)
+                done.append(e.at_line_end(found, dict(zip(found.keys, n))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(done, pa.string())], ["left", "right", "soft", "chained", "code", "op"])
 
-def repair(df: DataFrame, key: str = "doc_id", text: str = "text", bundle: str | None = "bundle_id", editor: Editor | None = None) -> DataFrame:
+    decided = flat.mapInArrow(run, "left string, right string, soft boolean, chained boolean, code boolean, op string")
+    return decided.select(F.struct("left", "right", "soft", "chained", "code").alias("b"), "op")
+
+
+def _group(bundle: str | None) -> Column:
+    return F.col(f"`{bundle}`").cast("string") if bundle else F.lit(None).cast("string")
+
+
+def find_noise(df: DataFrame, key: str = "doc_id", text: str = "text", bundle: str | None = "bundle_id", model: Model | None = None) -> DataFrame:
+    """One row per text and kind of noise in it: the key and ``noise`` (hyphen, glyph, header or pageno).
+
+    A word broken over a line end is one whose parts the editor joins without their mark; a misread word one that
+    the editor changes; page numbers and running heads are lines that the page model takes for furniture, by
+    their place and repetition within the text and in other texts.
+
+    Null, empty and blank texts have no noise; without a bundle only the text itself and heads shown elsewhere are
+    asked.  A null key is left out; a repeated row counts once.
+    """
+    model = model or train(df, text)
+    rows = df.select(F.col(f"`{key}`").alias("row"), _group(bundle).alias("bundle"), F.col(f"`{text}`").alias("text")).where("row is not null")
+    evidence = written(_evidence(rows, model))
+    numbers = evidence.where("numbers").select("row", F.lit("pageno").alias("noise"))
+    heads = _heads(evidence, model.pages).select("row", F.lit("header").alias("noise"))
+    glyphs = evidence.select("row", F.explode("words").alias("word")).join(model.wrong.select("word"), "word", "left_semi").select("row", F.lit("glyph").alias("noise"))
+    joined = _line_ends(evidence, model).where("op = 'join'").select("b")
+    hyphens = evidence.select("row", F.explode("ends").alias("b")).join(joined, "b", "left_semi").select("row", F.lit("hyphen").alias("noise"))
+    return numbers.union(heads).union(glyphs).union(hyphens).distinct().withColumnRenamed("row", key)
+
+
+def repair(df: DataFrame, key: str = "doc_id", text: str = "text", bundle: str | None = "bundle_id", model: Model | None = None) -> DataFrame:
     """Every text as continuous, readable paragraphs: the key and ``text``.
 
     Null stays null and empty stays empty; keys may be null or repeated.  Other columns are dropped.
     """
-    editor = editor or train(df, text)
-    rows = df.select(F.col(f"`{key}`").alias("key"), (F.col(f"`{bundle}`").cast("string") if bundle else F.lit(None).cast("string")).alias("bundle"), F.col(f"`{text}`").alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    model = model or train(df, text)
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), _group(bundle).alias("bundle"), F.col(f"`{text}`").alias("text"))
     rows = written(rows)
-    heads = _heads(written(_scan(rows, editor, "row", "text", "bundle").where("size(heads) > 0")), "row")
-    listed = heads.groupBy("row").agg(F.collect_set("head").alias("heads"))
-    shared = df.sparkSession.sparkContext.broadcast((editor.lexicon, editor.floor, editor.weights))
+    evidence = written(_evidence(rows.select("row", "bundle", "text"), model))
+    heads = _heads(evidence, model.pages).groupBy("row").agg(F.collect_set("head").alias("heads"))
+    fixes = evidence.select("row", F.explode("words").alias("word")).join(model.wrong, "word").groupBy("row").agg(F.collect_list(F.struct("word", "printed")).alias("fixes"))
+    ends = evidence.select("row", F.explode("ends").alias("b")).join(_line_ends(evidence, model), "b").groupBy("row").agg(F.collect_list(F.struct("b", "op")).alias("ends"))
+    shared = df.sparkSession.sparkContext.broadcast((model.pages.perceptron.weights, model.pages.words))
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Editor(*shared.value))
+        weights, words = shared.value
+        reader = Reader(Pages(ed.Perceptron(weights), words))
         for batch in batches:
-            done = [None if t is None else repaired_text(t, reader, set(h or ())) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            done = []
+            for t, h, f, e in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                ops = {Break(**x["b"]): x["op"] for x in e or ()}
+                done.append(None if t is None else repaired_text(t, reader, set(h or ()), ops, {x["word"]: x["printed"] for x in f or ()}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], [key, text])
 
-    return rows.join(listed, "row", "left").select("key", "text", "heads").mapInArrow(run, f"`{key}` {key_type}, `{text}` string")
+    whole = rows.join(heads, "row", "left").join(fixes, "row", "left").join(ends, "row", "left")
+    return whole.select("key", "text", "heads", "fixes", "ends").mapInArrow(run, f"`{key}` {key_type}, `{text}` string")
+
+
+# ---- In memory ------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Local:
+    """The same decisions for single texts, with a lexicon in memory."""
+
+    lexicon: Lexicon
+    editor: Editor
+    pages: Pages
+
+    @classmethod
+    def of(cls, words: dict[str, int], texts: list[str]) -> Local:
+        """Trained on counted words and canonical texts."""
+        lexicon = Lexicon(words)
+        return cls(lexicon, lexicon.editor(), pg.trained(texts, number_words(words)))
+
+    def model(self, spark: SparkSession) -> Model:
+        """The same model for tables."""
+        words = spark.createDataFrame(sorted(self.lexicon.words.items()), "word string, n bigint")
+        return of_words(spark.createDataFrame([], "t string"), words, self.editor, self.pages)
+
+    def misread(self, text: str) -> dict[str, str]:
+        """The misread words of a text, as they stand, and what was printed, in lower case."""
+        words = Reader(self.pages)(canonical(text))[2]
+        return {w: said for w in words if (said := self.lexicon.restored(self.editor, plain(w))) != plain(w)}
+
+    def noise(self, text: str) -> list[str]:
+        """Kinds of noise that the text shows by itself."""
+        lines, found, _ = Reader(self.pages)(canonical(text))
+        kinds = {"pageno" for x in lines if x.number and x.score > 0} | {"header" for x in lines if x.parts and x.score > 0}
+        kinds |= {"hyphen" for _, _, b in found if self.editor.at_line_end(b, self.lexicon.words) == "join"}
+        return sorted(kinds | ({"glyph"} if self.misread(text) else set()))
