@@ -288,9 +288,10 @@ def _line_ends(editor: Editor, words: Mapping[str, int], plain: list[str], size:
         a, b = "".join(rnd.choices("ABCDEFGHJKLMRTXZ", k=rnd.randrange(1, 5))), "".join(rnd.choices("ABCDEFGHJKLMRTXZ", k=rnd.randrange(1, 4)))
         add(Break(a, b, code=rnd.random() < 0.7), "compound")
         add(Break(rnd.choice(plain), w, chained=True), "compound")
+    lefts = [w.split("-")[0] for w in compounds] or plain
     for w in hanging:
-        for _ in range(3):
-            add(Break(rnd.choice(plain), w[2:]), "apart")
+        for _ in range(3 + 4 * bucket(words[w])):
+            add(Break(rnd.choice(rnd.choice((plain, lefts))), w[2:]), "apart")
     return samples
 
 

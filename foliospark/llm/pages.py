@@ -128,6 +128,7 @@ def candidates(lines: list[str], words: Mapping[str, int]) -> list[Line]:
     lengths = sorted(len(x) for x in lines if x.strip())
     full = 0.6 * lengths[len(lengths) * 9 // 10]
     at_lines = {x.at: x for x in found}
+    at_numbers = {x.at for x in found if x.number}
     numbers = [x for x in found if x.alone and x.number.isdigit()]
     runs = {x.at for a, b in zip(numbers, numbers[1:]) if 0 < int(b.number) - int(a.number) <= 2 for x in (a, b)}
 
@@ -138,11 +139,13 @@ def candidates(lines: list[str], words: Mapping[str, int]) -> list[Line]:
         return j if 0 <= j < len(lines) else None
 
     def tabular(j: int | None) -> bool:
-        return j is not None and bool(PARTS.search(lines[j].strip()) or _DIGIT.search(lines[j][-3:]))
+        return j is not None and j not in at_numbers and bool(PARTS.search(lines[j].strip()) or _DIGIT.search(lines[j][-3:]))
 
     for x in found:
         before, after = near(x.at, -1), near(x.at, 1)
-        edge = any(j is None or "\x0c" in lines[j] or (j in at_lines and at_lines[j].alone) for j in (before, after))
+        end = any(j is None or "\x0c" in lines[j] for j in (before, after))
+        beside_number = any(j in at_lines and at_lines[j].alone for j in (before, after))
+        edge = end or beside_number
         # Content around the line, beyond other furniture.
         up, down = before, after
         for _ in range(4):
@@ -153,7 +156,7 @@ def candidates(lines: list[str], words: Mapping[str, int]) -> list[Line]:
         cut = up is not None and down is not None and not ENDED.search(lines[up].strip()) and lines[down].strip()[:1].islower() and len(lines[up].strip()) >= full and not PARTS.search(lines[up].strip())
         if x.alone:
             kind = kind_of(x.number, words)
-            x.features = [("number", kind, edge, cut), ("number in a run", kind, x.at in runs), ("number", kind), ("number in a table", kind.split()[0], tabular(before) and tabular(after)), ("long roman", kind == "roman" and len(x.number) > 2, edge or cut)]
+            x.features = [("number", kind, end, cut), ("number by a number", kind.split()[0], beside_number, end), ("number in a run", kind, x.at in runs), ("number", kind), ("number in a table", kind.split()[0], tabular(before) and tabular(after)), ("long roman", kind == "roman" and len(x.number) > 2, end or cut)]
             x.shown = True
             continue
         times = max(repeated[p] for p in x.parts)
@@ -162,7 +165,7 @@ def candidates(lines: list[str], words: Mapping[str, int]) -> list[Line]:
         x.shown, x.first = edge or cut or times > 1 or beside, before is None
         x.features = [
             ("head",), ("head times", min(times, 4)), ("head times", min(times, 4), edge, cut), ("head beside", beside and kind_of(x.number, words).split()[0], times > 1), ("head edge", edge, beside),
-            ("head cut", cut, styled(x.text), times > 1), ("head stop", "." in x.text[-1:], times > 1, beside), ("head gap", gap, times > 1), ("head first", before is None, times > 1, beside), ("head place", edge, cut, gap, beside, styled(x.text)),
+            ("head cut", cut, styled(x.text), times > 1), ("head stop", "." in x.text[-1:], times > 1, beside), ("head of a table", not edge and not beside and tabular(after), times > 1), ("head gap", gap, times > 1), ("head first", before is None, times > 1, beside), ("head place", edge, cut, gap, beside, styled(x.text)),
         ]
     return found
 
@@ -183,10 +186,12 @@ class Pages:
         """The lines of a canonical text that may be furniture, scored; from above 0 they are."""
         found = candidates(lines_of(text), self.words)
         for x in found:
-            x.score = self.perceptron.score(x.features)
+            x.score = self.perceptron.score(x.features) - MARGIN
         return found
 
 
+#: What a line's features must weigh more than to be furniture.
+MARGIN = 0.5
 #: Texts that the page model is trained on, at most.
 TRAINING_PAGES = 1_500
 
@@ -221,7 +226,7 @@ def trained(texts: list[str], words: Mapping[str, int], passes: int = 6) -> Page
             page, shared = [(line, 0) for line in lines], False
             head = rnd.choice(titles)
             head = head.upper() if rnd.random() < 0.3 else head
-            kind = rnd.choice(("head", "number", "both", "beside", "none", "table", "section"))
+            kind = rnd.choice(("head", "number", "both", "beside", "none", "table", "section", "stamp"))
             style, n, word, places = rnd.randrange(10), rnd.randrange(1, 400) if rnd.random() < 0.9 else rnd.randrange(1500, 2100), rnd.choice(named), rnd.choice((1, 1, 2, 3, 4))
             n = n % 39 + 1 if style == 5 else n
             if kind in ("head", "number", "both", "beside"):
@@ -231,7 +236,7 @@ def trained(texts: list[str], words: Mapping[str, int], passes: int = 6) -> Page
                 if rnd.random() < 0.4:
                     spots.append(0)
                 shared = rnd.random() < 0.6
-                if kind == "head" and shared and rnd.random() < 0.3:
+                if kind == "head" and shared and rnd.random() < 0.5:
                     spots = [rnd.choice((0, len(lines)))]  # shown by other texts alone
                 ends = rnd.random() < 0.4
                 for k, at in enumerate(spots):
@@ -243,12 +248,18 @@ def trained(texts: list[str], words: Mapping[str, int], passes: int = 6) -> Page
                     if ends and 0 < at < len(lines):
                         block.insert(rnd.randrange(len(block) + 1), ("\x0c", 0))
                     page[at:at] = block
+            elif kind == "table" and rnd.random() < 0.5:  # the head of a table that is repeated
+                top = " ".join(w.capitalize() for w in rnd.choice(titles).split()[: rnd.randrange(2, 6)])
+                for at in sorted(rnd.sample(range(1, len(lines)), min(2, len(lines) - 1)), reverse=True):
+                    page[at:at] = [(top, 0), *((f"{rnd.choice(titles).split()[0].capitalize()} {' '.join(rnd.choices(cells, k=rnd.randrange(1, 4)))}", 0) for _ in range(3))]
             elif kind == "table":
                 at = rnd.randrange(1, len(lines))
                 rows = [(rnd.choice((rnd.choice(cells), f"row  {rnd.choice(cells)}  {rnd.choice(cells)}", f"{rnd.choice(titles).split()[0].capitalize()} {rnd.choice(cells)}")), 0) for _ in range(rnd.randrange(2, 6))]
                 page[at:at] = [("column  first  second", 0), *rows, ("sum  12  34", 0)]
                 if rnd.random() < 0.5:  # a year on a line of its own, within a paragraph
                     page.insert(rnd.randrange(1, len(lines)), (str(rnd.randrange(1890, 2020)), 0))
+            elif kind == "stamp":  # a line at the page's end or start that nothing else speaks for
+                page.insert(rnd.choice((0, len(page), len(page))), (rnd.choice((head, " ".join(head.split()[:2]).title())), 0))
             elif kind == "section":
                 blanks = [i for i in range(1, len(lines) - 1) if not lines[i].strip()] or [1]
                 at = rnd.choice(blanks)
