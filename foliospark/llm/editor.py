@@ -16,8 +16,9 @@ from foliospark.llm.perceptron import Perceptron
 TRAINING_WORDS, PASSES = 3_000, 8
 #: Texts that must hold a word for it to be what was printed, and how many times more than the misread one.
 PRINTED, RATIO = 8, 8
-#: How often words must show a confusion for it to be looked for where no printed word is one step away.
-SURE = 6
+#: What share of all words that show confusions must show one for it to be looked for where no printed word is one step
+#: away, and how many of them at least.
+SURE_SHARE, SURE = 0.0025, 3
 
 ODD = re.compile(r"[0-9!(]")
 _MIXED = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9!(])")
@@ -81,8 +82,9 @@ class Editor:
 
     def __post_init__(self) -> None:
         self.sure: dict[str, list[str]] = defaultdict(list)
+        self.least = max(SURE, SURE_SHARE * sum(self.channel.values()))
         for (noisy, clean), n in sorted(self.channel.items()):
-            if n >= SURE:
+            if n >= self.least:
                 self.sure[noisy].append(clean)
 
     # ---- Words ----
@@ -233,7 +235,7 @@ def trained(words: Mapping[str, int], pairs: list[tuple[str, int, str, int]], ch
             elif listed:
                 samples.append(([editor.keep(made, 1), editor.change(made, 1, (edit,), 0)], 0))
     # Misreading makes so many of a word's occurrences at most; what occurs far more often is a word of its own.
-    shares = sorted(n / known for word, n, printed, known in pairs if (e := between(word, printed)) and known >= 12 * PRINTED and channel.get((e.noisy, e.clean), 0) >= SURE)
+    shares = sorted(n / known for word, n, printed, known in pairs if (e := between(word, printed)) and known >= 12 * PRINTED and channel.get((e.noisy, e.clean), 0) >= editor.least)
     most = shares[len(shares) * 98 // 100] if shares else 0.03
     for word, n, printed, known in pairs:
         if n >= 5 and n > 1.5 * most * known and (e := between(word, printed)):

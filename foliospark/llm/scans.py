@@ -308,25 +308,35 @@ def _wrong(words: DataFrame, pairs: DataFrame, editor: Editor) -> DataFrame:
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = own()
+
+        def give(found: list[tuple]) -> pa.RecordBatch:
+            word, n, made, at, noisy, clean = zip(*found)
+            parts = [pa.array(at, pa.list_(pa.int32())), pa.array(noisy, pa.list_(pa.string())), pa.array(clean, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(made, pa.string()), *parts], ["word", "n", "made", "at", "noisy", "clean"])
+
+        found: list[tuple] = []
         for batch in batches:
-            found = [(w, n, made, [(x.at, x.noisy, x.clean) for x in edits]) for w, n in zip(*(c.to_pylist() for c in batch.columns)) for made, edits in e.guesses(w)]
-            word, n, made, edits = zip(*found) if found else ((), (), (), ())
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("noisy", pa.string()), ("clean", pa.string())]))
-            edits = pa.array([[{"at": a, "noisy": x, "clean": y} for a, x, y in e] for e in edits], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(made, pa.string()), edits], ["word", "n", "made", "edits"])
+            for w, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for made, edits in e.guesses(w):
+                    found.append((w, n, made, [x.at for x in edits], [x.noisy for x in edits], [x.clean for x in edits]))
+                if len(found) > 5_000:
+                    yield give(found)
+                    found = []
+        if found:
+            yield give(found)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = own()
         for batch in batches:
-            word, n, made, edits, known = (c.to_pylist() for c in batch.columns)
-            gains = [e.gain(w, c, tuple(Edit(x["at"], x["noisy"], x["clean"]) for x in es), k) for w, c, es, k in zip(word, n, edits, known)]
+            word, n, _, at, noisy, clean, known = (c.to_pylist() for c in batch.columns)
+            gains = [e.gain(w, c, tuple(map(Edit, a, x, y)), k) for w, c, a, x, y, k in zip(word, n, at, noisy, clean, known)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gains, pa.float64()), batch.column(2)], ["word", "gain", "printed"])
 
     near = pairs.mapInArrow(one, schema)
     alone = words.where("length(word) > 2 and word not rlike '^[-#=~] ' and word not like '%-%'").join(pairs.select("word"), "word", "left_anti")
-    guesses = alone.select("word", "n").mapInArrow(guess, "word string, n bigint, made string, edits array<struct<at: int, noisy: string, clean: string>>")
-    known = guesses.join(words.select(F.col("word").alias("made"), F.col("n").alias("known")), "made", "left").select("word", "n", "made", "edits", F.coalesce("known", F.lit(0)).cast("bigint").alias("known"))
-    far = known.where(f"size(edits) = 1 or known >= {ed.RATIO} * n").mapInArrow(several, schema)
+    guesses = alone.select("word", "n").mapInArrow(guess, "word string, n bigint, made string, at array<int>, noisy array<string>, clean array<string>")
+    known = guesses.join(words.select(F.col("word").alias("made"), F.col("n").alias("known")), "made", "left").select("word", "n", "made", "at", "noisy", "clean", F.coalesce("known", F.lit(0)).cast("bigint").alias("known"))
+    far = known.where(f"size(at) = 1 or known >= {ed.RATIO} * n").mapInArrow(several, schema)
     best = near.union(far).where("gain > 0").groupBy("word").agg(F.max(F.struct("gain", "printed")).alias("best"))
     return best.select("word", "best.printed")
 
