@@ -33,6 +33,7 @@ _OPEN_WORD = re.compile(r"(?<=\s)[(!](?=[a-zß-öø-ÿα-ώа-я])[^\W_]+(?:[!(]
 _OPEN = re.compile(r"\s[(!][a-zß-öø-ÿα-ώа-я]")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _HANGING = re.compile(r"[^\W\d_]- ([^\W\d_]+)")
+_NUMBER_LINE = re.compile(r"^([^\W\d_]{3,12} \d{1,4}(?: [^\W\d_]{2,4} \d{1,4})?)$", re.MULTILINE)
 _CODE = re.compile(r"[A-Z0-9]*\d[A-Z0-9]*|[^\W\d_a-zß-öø-ÿα-ώа-яё]+|\d+[a-z]{0,3}|[a-z]{1,3}\d+")
 _CAPITALS = re.compile(r"(?!.*SS)[A-Z][A-Z]{1,}\d?[A-Z]{3,}")
 _LEFT, _RIGHT = re.compile(r"[^\W\d_]+$"), re.compile(r"\s*([^\W\d_]+)")
@@ -99,7 +100,7 @@ class Reader:
         """Of a canonical text the possible furniture, the marks at line ends, and its words outside ``common`` as they stand."""
         lines = self.pages(text)
         found = list(breaks(text, (x.at for x in lines if x.score > 0))) if _LINE_MARK.search(text) else []
-        words = {w for w in words_of(text) if (p := plain(w)) is not None and len(p) > 2 and p not in self.common}
+        words = {w for w in words_of(text) if len(w) > 2 and w.lower() not in self.common and plain(w) is not None}
         if found:  # the parts of words that furniture keeps apart are no words
             words -= {part for _, j, b in found for part in (b.left, b.right)}
         return lines, found, words
@@ -186,9 +187,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.update({c.lower() for part in text.split() if "-" in part for c in _COMPOUND.findall(part)})
                 counts.update({f"- {w.lower()}" for w in _HANGING.findall(text)})
             worded: dict[str, list[str]] = {}
-            for line in text.split("\n"):
-                if line[:1].isupper() and len(line) < 32 and line[-1:].isdigit() and (w := pg.number_word(line.strip())):
-                    worded.setdefault(w, []).append(line.strip())
+            for line in _NUMBER_LINE.findall(text):
+                if line[0].isupper() and (w := pg.number_word(line)):
+                    worded.setdefault(w, []).append(line)
             for w, own in worded.items():
                 counts[f"# {w}"] += 1
                 if len(own) > 1:
@@ -306,8 +307,13 @@ def _wrong(words: DataFrame, pairs: DataFrame, editor: Editor) -> DataFrame:
             gains = [e.gain(w, c, (Edit(a, x, y),), k) for w, c, k, a, x, y in zip(word, n, known, at, noisy, clean)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gains, pa.float64()), batch.column(2)], ["word", "gain", "printed"])
 
+    # What printed words are made of: all their runs of three letters, ends marked; bounded by the alphabets.
+    ends = words.where(f"n >= {ed.PRINTED} and word not rlike '^[-#=~] ' and word not like '%-%'").select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
+    threes = ends.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("three")).distinct()
+    made_of = words.sparkSession.sparkContext.broadcast({r[0] for r in threes.collect()})
+
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = own()
+        e, runs = own(), made_of.value
 
         def give(found: list[tuple]) -> pa.RecordBatch:
             word, n, made, at, noisy, clean = zip(*found)
@@ -318,6 +324,8 @@ def _wrong(words: DataFrame, pairs: DataFrame, editor: Editor) -> DataFrame:
         for batch in batches:
             for w, n in zip(*(c.to_pylist() for c in batch.columns)):
                 for made, edits in e.guesses(w):
+                    if len(edits) > 1 and not all(f"^{made}$"[i : i + 3] in runs for i in range(len(made))):
+                        continue  # no printed word
                     found.append((w, n, made, [x.at for x in edits], [x.noisy for x in edits], [x.clean for x in edits]))
                 if len(found) > 5_000:
                     yield give(found)
