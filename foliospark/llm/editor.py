@@ -66,7 +66,7 @@ def between(word: str, printed: str) -> Edit | None:
         else:
             b -= 1
         noisy, clean = word[a : len(word) - max(b, 0)], printed[a : len(printed) - max(b, 0)]
-    return Edit(a, noisy, clean) if (len(noisy), len(clean)) in ((1, 1), (1, 2), (2, 1)) else None
+    return Edit(a, noisy, clean) if noisy != clean and (len(noisy), len(clean)) in ((1, 1), (1, 2), (2, 1)) else None
 
 
 @dataclass
@@ -112,7 +112,7 @@ class Editor:
         single = [Edit(at, word[at : at + z], clean) for at, z, _ in regions(word) for clean in self.sure.get(word[at : at + z], ())]
         for e in single:
             made = word[: e.at] + e.clean + word[e.at + len(e.noisy) :]
-            if len(word) >= 5 and ODD.search(e.noisy) and made.isalpha() and (e.at > 0 or len(word) > 6):
+            if len(word) >= 5 and ODD.search(e.noisy) and made.isalpha() and 0 < e.at < len(word) - len(e.noisy):
                 yield made, (e,)
             if len(word) >= 5:
                 for other in single:
