@@ -132,10 +132,11 @@ class Editor:
         """Features of leaving two parts of a line end apart, joining them with the mark, and joining them without."""
         n = count if callable(count) else lambda w: count.get(w, 0)
         joined, compound, left, right, hanging = (n(k) for k in b.keys)
+        between = lambda x, y: max(-8, min(8, round(math.log2((x + 1) / (y + 1)))))
         facts = [
-            ("joined", min(bucket(joined), 6)), ("compound", min(bucket(compound), 6)), ("more", (joined > compound) - (joined < compound)), ("known", joined > 0, compound > 0),
-            ("parts", left > 5 and len(b.left) > 2, right > 5 and len(b.right) > 2, joined > 0, compound > 0), ("short", len(b.left) == 1, len(b.right) < 3), ("soft", b.soft, b.chained),
-            ("code", b.code, joined > 0), ("chained", b.chained, joined > 0), ("hanging", min(bucket(hanging), 4), joined > 0), ("capital", b.left.isupper(), len(b.left) < 5, joined > 0),
+            ("joined to compound", between(joined, compound), joined > 0, compound > 0), ("hanging to joined", between(hanging, joined), hanging > 0), ("joined", min(bucket(joined), 8)), ("compound", min(bucket(compound), 6)),
+            ("parts", left > 5 and len(b.left) > 2, right > 5 and len(b.right) > 2, joined > 0, compound > 0), ("short", len(b.left) == 1, len(b.right) < 3, joined > 0), ("soft", b.soft, b.chained),
+            ("code", b.code, joined > 0), ("chained", b.chained, joined > 0), ("capital", b.left.isupper(), len(b.left) < 5, joined > 0),
         ]
         return [[("line end", op, *f) for f in facts] for op in self.OPERATIONS]
 
@@ -260,8 +261,13 @@ def _line_ends(editor: Editor, words: Mapping[str, int], plain: list[str], size:
     compounds = sorted((w for w in words if w.count("-") == 1 and w[0] != "-" and w[-1] != "-" and " " not in w), key=_key)[:size]
     hanging = sorted((w for w in words if w.startswith("- ") and words[w] >= 2), key=_key)[:size]
 
-    def add(b: Break, right: str, hidden: tuple[str, ...] = ()) -> None:
-        count = lambda w: 0 if w in hidden else words.get(w, 0)
+    # Counting joins what it meets at line ends; such joins of compounds and hanging hyphens are no words.
+    flat = {w.replace("-", "") for w in words if "-" in w and " " not in w and words[w] > words.get(w.replace("-", ""), 0)}
+    hung = {w[2:] for w in hanging}
+    plain = [w for w in plain if w not in flat and not any(w[cut:] in hung and words[f"- {w[cut:]}"] > words[w] for cut in range(1, len(w)))]
+
+    def add(b: Break, right: str, hidden: tuple[str, ...] = (), seen: Mapping[str, int] | None = None) -> None:
+        count = lambda w: (seen or {}).get(w, 0) or (0 if w in hidden else words.get(w, 0))
         samples.append((editor.line_end(b, count), editor.OPERATIONS.index(right)))
 
     def shape(text: str) -> str:
@@ -274,26 +280,32 @@ def _line_ends(editor: Editor, words: Mapping[str, int], plain: list[str], size:
             if rnd.random() < 0.06:
                 a, b = a.upper(), b.upper()
             soft = rnd.random() < 0.3
-            add(Break(a, b, soft), "join", (w,) if hide and (len(a) > 1 or len(b) > 2) else ())
+            add(Break(a, b, soft), "join", *(((w,), {w: rnd.choice((0, 1, 1, 2, 3, 6))}) if hide and (len(a) > 1 or len(b) > 2) else ()))
+        for cut in range(3, len(w) - 2):  # words made of two
+            if words.get(w[:cut], 0) > 5 and words.get(w[cut:], 0) > 5:
+                for _ in range(4):
+                    add(Break(w[:cut], w[cut:]), "join")
     for w in compounds:
         a, b = w.split("-")
         if a.isalpha() and b.isalpha():
             add(Break(a, b), "compound")
             if words.get(a, 0) > 5 and words.get(b, 0) > 5 and len(a) > 2 and len(b) > 2:
-                add(Break(a, b), "compound", (w,))
+                add(Break(a, b), "compound", (w, a + b), {a + b: rnd.choice((0, 1, 1, 2))})
             if len(hanging) > 1 and rnd.random() < 0.3:
                 add(Break(a, rnd.choice(hanging)[2:]), "apart")
     for w in plain[: len(plain) // 2]:
         v = rnd.choice(plain)
         if words.get(w + v, 0) == 0 and len(w) > 3 and len(v) > 3:
-            add(Break(w, v), "compound")
+            add(Break(w, v), "compound", seen={w + v: rnd.choice((0, 1, 1, 2))})
         a, b = "".join(rnd.choices("ABCDEFGHJKLMRTXZ", k=rnd.randrange(1, 5))), "".join(rnd.choices("ABCDEFGHJKLMRTXZ", k=rnd.randrange(1, 4)))
         add(Break(a, b, code=rnd.random() < 0.7), "compound")
         add(Break(rnd.choice(plain), w, chained=True), "compound")
     lefts = [w.split("-")[0] for w in compounds] or plain
     for w in hanging:
         for _ in range(3 + 4 * bucket(words[w])):
-            add(Break(rnd.choice(rnd.choice((plain, lefts))), w[2:]), "apart")
+            a = rnd.choice(rnd.choice((plain, lefts)))
+            # Counting joins what it meets at line ends, so these joins have been seen as well.
+            add(Break(a, w[2:]), "apart", seen={a + w[2:]: rnd.choice((0, 1, 5, 25, 100))})
     return samples
 
 
