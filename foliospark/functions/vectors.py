@@ -14,7 +14,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     """Euclidean length."""
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.sqrt(dot(a, a))
 
 
 def normalized(a: Column, eps: float = 0.0) -> Column:

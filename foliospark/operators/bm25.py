@@ -90,5 +90,6 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     by_page = found.select("query_id", "document_id", "chunk", "chunks", part.alias("part")).repartition("query_id", "document_id")
     by_chunk = by_page.groupBy("query_id", "document_id", "chunk", "chunks").agg(F.sum("part").alias("score"))
     best = by_chunk.groupBy("query_id", "document_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("matching"), F.max("chunks").alias("chunks"))
+    # No chunk, no score: a page comes out only with a chunk that matches, so a maximum is never over nothing.
     score = F.when(F.col("matching") < F.col("chunks"), F.greatest("score", F.lit(0.0))).otherwise(F.col("score"))
     return best.select("query_id", "document_id", score.alias("score"))

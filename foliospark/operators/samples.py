@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.numeric import is_finite
+from foliospark.functions.numeric import clamp_min, is_finite, max_abs
 
 
 def latency_summary(samples: DataFrame, latency: str, documents: int, pairs: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,10 +50,18 @@ def candidate_ranking(samples: DataFrame) -> DataFrame:
     return rolled.withColumn("place", F.row_number().over(order))
 
 
-def candidate_rollup(samples: DataFrame, kind: str) -> DataFrame:
-    """Pooled figures of each candidate over all kinds and for each kind, in one pass of grouping sets."""
+def candidate_rollup(samples: DataFrame, kind: str, maxima: tuple[str, ...] = ()) -> DataFrame:
+    """Pooled figures of each candidate over all kinds and for each kind, in one pass of grouping sets; of the columns ``maxima`` the greatest values."""
     sets = samples.groupingSets([["candidate"], ["candidate", kind]], "candidate", kind)
-    return sets.agg(F.percentile("latency_ms", F.lit(0.5)).alias("p50"), F.sum("latency_ms").alias("total"), F.count(F.lit(1)).alias("samples"), F.grouping(kind).alias("overall"))
+    return sets.agg(*[F.max(c).alias(f"greatest_{c}") for c in maxima], F.percentile("latency_ms", F.lit(0.5)).alias("p50"), F.sum("latency_ms").alias("total"), F.count(F.lit(1)).alias("samples"), F.grouping(kind).alias("overall"))
+
+
+def agreement_or_null(actual: DataFrame, expected: DataFrame, keys: list[str], atol: float, rtol: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``agreement`` for reports: an error that isn't finite is null, and so is ``all_close`` over no pairs."""
+    found = agreement(actual, expected, keys, atol, rtol, by)
+    for c in ("max_absolute_error", "max_relative_error"):
+        found = found.withColumn(c, F.when(is_finite(F.col(c)), F.col(c)))
+    return found
 
 
 def agreement(actual: DataFrame, expected: DataFrame, keys: list[str], atol: float, rtol: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,7 +69,7 @@ def agreement(actual: DataFrame, expected: DataFrame, keys: list[str], atol: flo
     both = actual.select(*keys, F.col("score").alias("a")).join(expected.select(*keys, F.col("score").alias("e")), keys)
     error = F.abs(F.col("a") - F.col("e"))
     columns = [
-        F.count(F.lit(1)).alias("pairs"), F.max(error).alias("max_absolute_error"), F.max(error / F.greatest(F.abs("e"), F.lit(1e-12))).alias("max_relative_error"),
+        F.count(F.lit(1)).alias("pairs"), max_abs(F.col("a") - F.col("e")).alias("max_absolute_error"), F.max(error / clamp_min(F.abs("e"), 1e-12)).alias("max_relative_error"),
         F.bool_and(is_finite(F.col("a")) & is_finite(F.col("e"))).alias("all_finite"), F.bool_and(error <= F.lit(atol) + F.lit(rtol) * F.abs("e")).alias("all_close"),
     ]
     return both.groupBy(*by).agg(*columns) if by else both.agg(*columns)

@@ -9,7 +9,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.operators import bm25, metrics, ranking
+from foliospark.functions.text import chunk_windows
+from foliospark.operators import bm25, dense, metrics, ranking
 from foliospark.session import numbered, written
 
 
@@ -36,6 +37,20 @@ class Bm25Index:
         return bm25.scores(self.index, queries)
 
 
+class DenseIndex:
+    """Windows of texts as vectors of an encoder, the best cosine of a page's windows as its score."""
+
+    def __init__(self, documents: DataFrame, encoder: TextEncoder, width: int, max_words: int = 192, overlap: int = 32):
+        windows = chunk_windows(documents.select("document_id", "text"), "text", max_words, overlap)
+        texts = windows.select("document_id", F.array_join("words", " ").alias("text"))
+        self.encoder, self.width, self.chunks = encoder, width, written(encoder.encode(texts).select("document_id", "emb"))
+
+    def score(self, queries: DataFrame) -> DataFrame:
+        """Scores of all pages that have a window."""
+        asked = self.encoder.encode(queries.where("query_id is not null and text is not null").select("query_id", "text"))
+        return dense.scores(asked.select("query_id", "emb"), self.chunks, self.width)
+
+
 def top_k_padded(scores: DataFrame, queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """The first k of each query's complete ranking, from scores without the zeros.
 

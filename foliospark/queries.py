@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from foliospark.functions.numeric import geometric_mean
 from foliospark.functions.text import chunk_windows as windows_of
 from foliospark.functions.text import prompt, tokenize_plain, words
-from foliospark.functions.vectors import finite, norm
+from foliospark.functions.vectors import finite, norm, normalized
 from foliospark.operators import bm25, dense, fingerprints, loss, maxsim, metrics, pooling, ranking, samples, subset, validate
+from foliospark.plans import reports
 from foliospark.plans.evaluation import top_k_padded
 from foliospark.session import checkpointed, numbered, table
-from foliospark.sources.images import png_size
+from foliospark.sources.images import load_subset, png_size
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,6 +237,23 @@ def dense_index_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return dense.index_bytes(_tokens(spark, sf), WIDTH)
 
 
+@query("""SELECT pages, positions * 513 AS token_bytes, pages * 512 AS mean_bytes, positions * 513 / pages::DOUBLE AS token_bytes_per_page, 512.0::DOUBLE AS mean_bytes_per_page, round(positions * 513 / (pages * 512.0::DOUBLE), 6) AS ratio
+FROM (SELECT count(*) AS positions, count(DISTINCT document_id) AS pages FROM (SELECT DISTINCT document_id, pos FROM doc_tok))""")
+def payload_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of token vectors and of mean vectors, in all and for a page."""
+    return reports.payload(_tokens(spark, sf), WIDTH).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"""WITH {_TOKENS}, lengths AS (SELECT document_id, pos, emb, greatest(sqrt(list_dot_product(emb, emb)), 1e-12) AS n FROM (SELECT document_id, pos, CASE WHEN active THEN emb::DOUBLE[] ELSE list_transform(emb, lambda x: 0.0::DOUBLE) END AS emb FROM toks))
+SELECT document_id, pos, round(emb[1] / n, 5) AS first, round(emb[128] / n, 5) AS last, round(sqrt(list_dot_product(emb, emb)) / n, 5) AS length FROM lengths""")
+def normalized_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Token vectors of length one, masked ones zero: their first and last numbers and their lengths."""
+    mask = F.coalesce("mask", F.lit(True))
+    once = _tokens(spark, sf).groupBy("document_id", "pos").agg(F.max(F.struct(mask.alias("mask"), "emb")).alias("best")).select("document_id", "pos", "best.mask", "best.emb")
+    vectors = once.withColumn("emb", F.when(F.col("mask"), normalized(F.col("emb"), 1e-12)).otherwise(F.transform("emb", lambda x: F.lit(0.0))))
+    return vectors.select("document_id", "pos", F.round(F.get("emb", F.lit(0)), 5).alias("first"), F.round(F.get("emb", F.lit(WIDTH - 1)), 5).alias("last"), F.round(norm(F.col("emb")), 5).alias("length"))
+
+
 # ---- BM25 ------------------------------------------------------------------------------------------------
 
 
@@ -396,6 +414,24 @@ def relevance_sets(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("document_id")), " ").alias("relevant"))
 
 
+@query(f"""WITH {_JUDGED}, asked AS (SELECT DISTINCT query_id FROM scores WHERE scorer = 'late_interaction_maxsim' AND query_id IS NOT NULL)
+SELECT query_id AS id, 'unjudged' AS what FROM asked WHERE query_id NOT IN (SELECT query_id FROM judged) UNION ALL SELECT DISTINCT query_id, 'unranked' FROM judged WHERE query_id NOT IN (SELECT query_id FROM asked)
+UNION ALL SELECT DISTINCT CAST("corpus-id" AS VARCHAR), 'unknown' FROM qrels WHERE "corpus-id" IS NOT NULL AND CAST("corpus-id" AS VARCHAR) NOT IN (SELECT document_id FROM documents)""")
+def metric_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """What keeps one scorer's ranking from being measured: queries that only one side has, and judged pages that don't exist."""
+    asked = table(spark, sf, "scores").where("scorer = 'late_interaction_maxsim' and query_id is not null").select("query_id")
+    raw = table(spark, sf, "qrels").select(F.lit(None).cast("string").alias("query_id"), F.col("`corpus-id`").cast("string").alias("document_id")).where("document_id is not null")
+    known = table(spark, sf, "documents").select("document_id")
+    found = reports.coverage_violations(asked, _judged(spark, sf), known).where("what <> 'unknown'")
+    return found.union(reports.coverage_violations(asked, raw, known).where("what = 'unknown'"))
+
+
+@query(f"WITH {_ALL_RANKED}, {_JUDGED}, measured AS ({_metrics_sql('ranked', 10, 'scorer').strip().replace('relevant AS', 'WITH relevant AS', 1)}) SELECT scorer, ndcg_at_10, recall_at_10, mrr_at_10, queries, coalesce(ndcg_at_10 >= 0.05::DOUBLE, false) AS good, coalesce(queries >= 20, false) AS enough, coalesce(ndcg_at_10 >= 0.05::DOUBLE AND queries >= 20, false) AS accepted FROM measured")
+def accepted_scorers(spark: SparkSession, sf: str) -> DataFrame:
+    """Scorers that pass a gate of quality and number of queries."""
+    return reports.accepted(scorer_metrics(spark, sf), {"good": F.col("ndcg_at_10") >= 0.05, "enough": F.col("queries") >= 20})
+
+
 # ---- Integrity ---------------------------------------------------------------------------------------------
 
 
@@ -563,6 +599,17 @@ def subset_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _selection(spark, sf)[1]
 
 
+@query(f"""{_SUBSET}, first AS (SELECT task, document_id, hash, positive FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY positive DESC, hash, document_id) AS n FROM marked) WHERE n <= capacity)
+SELECT f.task, f.document_id, f.positive, sha256(c.image.bytes) AS sha256, CASE WHEN len(hex(c.image.bytes)) >= 48 AND starts_with(hex(c.image.bytes), '89504E470D0A1A0A0000000D49484452') THEN CAST('0x' || substr(hex(c.image.bytes), 33, 8) AS BIGINT) END AS width
+FROM first f JOIN corpus c ON c.task = f.task AND CAST(c."corpus-id" AS VARCHAR) = f.document_id""")
+def subset_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The selected pages with the digests of their images and the widths that their headers give."""
+    pages = table(spark, sf, "corpus").select("task", F.col("`corpus-id`").cast("string").alias("document_id"), F.col("image.bytes").alias("bytes"))
+    asked = table(spark, sf, "queries").where(F.trim("query") != "").select("task", F.col("`query-id`").cast("string").alias("query_id"))
+    found = load_subset(pages, asked, _judged(spark, sf), subset.selections_of(table(spark, sf, "selection_specs")), strict=False)
+    return found.pages.select("task", "document_id", "positive", "sha256", "width")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS document_id, sha256('stable' || chr(0) || 'document' || chr(0) || CAST(doc_id AS VARCHAR)) AS hash FROM documents")
 def hash_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Salted digests of all documents."""

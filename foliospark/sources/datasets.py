@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import is_blank
 from foliospark.operators import validate
-from foliospark.sources.files import scan, strict_json
+from foliospark.sources.config import record
+from foliospark.sources.files import Artifact, pinned_url, scan, strict_json, verify
 
 KEYS = {"name", "corpus", "queries", "qrels", "texts", "documents", "query_count"}
 
@@ -101,3 +103,68 @@ def task_counts(dataset: Dataset) -> DataFrame:
     """One row: judgements and documents without any text."""
     judged = dataset.qrels.agg(F.count(F.lit(1)).alias("n")).scalar()
     return dataset.documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if(is_blank(F.col("text")) | (F.col("text") == "")).alias("empty_documents")).withColumn("judgements", judged)
+
+
+@dataclass(frozen=True)
+class PinnedArtifact:
+    """A file of a repository: a relative path within it, its size and its SHA-256."""
+
+    path: str
+    size: int
+    sha256: str
+
+    def __post_init__(self) -> None:
+        parts = self.path.split("/")
+        if not self.path or self.path.startswith("/") or "\\" in self.path or any(p in ("", ".", "..") for p in parts):
+            raise validate.ContractError(f"{self.path!r} is no relative path within a repository")
+        if self.size < 0 or not re.fullmatch(validate.DIGEST, self.sha256):
+            raise validate.ContractError(f"{self.path}: a size can't be negative, and a digest is 64 hexadecimal digits")
+
+
+@dataclass(frozen=True)
+class PinnedManifest:
+    """A dataset at a fixed revision of a repository: its four files with sizes and digests, and its row counts."""
+
+    name: str
+    repository: str
+    revision: str
+    corpus: PinnedArtifact
+    queries: PinnedArtifact
+    qrels: PinnedArtifact
+    texts: PinnedArtifact
+    documents: int
+    query_count: int
+
+    def __post_init__(self) -> None:
+        for value, pattern, what in ((self.name, validate.IDENTIFIER, "name"), (self.repository, validate.REPOSITORY, "repository"), (self.revision, validate.REVISION, "revision")):
+            if not re.fullmatch(pattern, value):
+                raise validate.ContractError(f"{value!r} is no {what}")
+        if self.documents <= 0 or self.query_count <= 0:
+            raise validate.ContractError("row counts must be positive")
+        if len({a.path for a in self.artifacts.values()}) < 4:
+            raise validate.ContractError("a file is named twice")
+
+    @classmethod
+    def parse(cls, text: str) -> PinnedManifest:
+        """From strict JSON with exactly these keys."""
+        return record(cls, strict_json(text))
+
+    @property
+    def artifacts(self) -> dict[str, PinnedArtifact]:
+        """The files by their part in the dataset."""
+        return {part: getattr(self, part) for part in ("corpus", "queries", "qrels", "texts")}
+
+    def urls(self, host: str) -> dict[str, str]:
+        """Where the files lie at the revision."""
+        return {part: pinned_url(host, self.repository, self.revision, a.path) for part, a in self.artifacts.items()}
+
+    def manifest(self) -> Manifest:
+        """The same without pins."""
+        return Manifest(self.name, *(a.path for a in self.artifacts.values()), self.documents, self.query_count)
+
+
+def load_pinned(spark: SparkSession, manifest: PinnedManifest, resolve: Callable[[str], str] = lambda p: p) -> Dataset:
+    """``load`` after verifying sizes and digests of all files."""
+    for a in manifest.artifacts.values():
+        verify(spark, [Artifact(a.path, a.size, a.sha256)], resolve)
+    return load(spark, manifest.manifest(), resolve)
