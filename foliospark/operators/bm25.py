@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.numeric import safe_divide
 from foliospark.functions.text import chunk_windows, tokenize, tokenize_plain
-from foliospark.session import spread, written
+from foliospark.session import exists, spread, written
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,10 @@ class Index:
     parameters: Parameters
     plain: bool
 
+    def stands(self) -> bool:
+        """Whether the written tables are still there."""
+        return exists(self.postings.sparkSession, self.postings.inputFiles()[:1] + self.chunks.inputFiles()[:1])
+
     def tokens(self, text: Column) -> Column:
         """The index's tokenizer."""
         return tokenize_plain(text) if self.plain else tokenize(text)
@@ -53,7 +57,7 @@ def build(documents: DataFrame, max_words: int = 256, overlap: int = 32, paramet
     """The index of documents (document_id, text).
 
     A blank page is one chunk without terms; a null text has no chunk.  Windows come from the raw words and
-    are tokenized afterwards; ``plain`` keeps tokenizing to built-in functions.  Tokens and postings are
+    are tokenized afterwards; ``plain`` keeps tokenizing to built-in functions.  Tokens, postings and terms are
     written once to the shared folder, as an index is, and everything else is read from them.  Inverse frequencies are over
     chunks, and a negative one is replaced by ``epsilon`` times the mean of all.
     """
@@ -70,7 +74,7 @@ def build(documents: DataFrame, max_words: int = 256, overlap: int = 32, paramet
     raw = df.select("term", "df", (F.log(size - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(parameters.epsilon) * mean).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, terms, totals, parameters, plain)
+    return Index(postings, lengths, written(terms), totals, parameters, plain)
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:

@@ -88,8 +88,21 @@ def _dense(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
     return dense.scores(asked, maxsim.active(_tokens(spark, sf)), WIDTH, k=k, digits=4)
 
 
+#: Indices of this process by application and files: an index is built once and then searched.
+_INDEXES: dict[tuple, bm25.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> bm25.Index:
+    """The index of the documents, built anew if their files have changed or its tables were deleted."""
+    meta = table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string").alias("at")).distinct()
+    key = (spark.sparkContext.applicationId, *sorted(tuple(r) for r in meta.collect()))
+    if key not in _INDEXES or not _INDEXES[key].stands():
+        _INDEXES[key] = bm25.build(_pages(spark, sf), WORDS, OVERLAP, plain=True)
+    return _INDEXES[key]
+
+
 def _bm25(spark: SparkSession, sf: str) -> tuple[bm25.Index, DataFrame]:
-    index = bm25.build(_pages(spark, sf), WORDS, OVERLAP, plain=True)
+    index = _index(spark, sf)
     return index, bm25.scores(index, _asked(spark, sf)).withColumn("score", F.round("score", 4))
 
 
@@ -275,19 +288,19 @@ def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_CHUNKS}, {_TERMS}, {_STATS} SELECT term, df, round(idf, 5) AS idf FROM idf")
 def bm25_term_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk frequency and floored inverse frequency of every term."""
-    return bm25.build(_pages(spark, sf), WORDS, OVERLAP, plain=True).terms.withColumn("idf", F.round("idf", 5))
+    return _index(spark, sf).terms.withColumn("idf", F.round("idf", 5))
 
 
 @query(f"WITH {_CHUNKS}, {_TERMS}, {_STATS} SELECT document_id, chunk, CAST(length AS INTEGER) AS length FROM lengths")
 def bm25_chunk_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of every chunk, blank ones too."""
-    return bm25.build(_pages(spark, sf), WORDS, OVERLAP, plain=True).chunks
+    return _index(spark, sf).chunks
 
 
 @query(f"WITH {_CHUNKS}, {_TERMS}, {_STATS} SELECT CAST((SELECT sum(octet_length(encode(term)) + 8) FROM idf) + (SELECT 16 * count(*) FROM tf) + (SELECT 16 * count(*) FROM chunks) AS BIGINT) AS index_bytes")
 def bm25_index_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Logical bytes of the index."""
-    return bm25.build(_pages(spark, sf), WORDS, OVERLAP, plain=True).bytes()
+    return _index(spark, sf).bytes()
 
 
 @query(f"{_BM25} SELECT * FROM scores")

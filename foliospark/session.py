@@ -92,6 +92,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(written_at(df))
 
 
+def exists(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether all these files are there."""
+    places = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in places)
+
+
 def clear(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that ``written`` has made, or those after the first ``since`` of them."""
     for path in _KEPT[since:]:
