@@ -103,6 +103,7 @@ def _class_table() -> dict[int, str]:
 
 FOLD, CLASSES = _fold_table(), _class_table()
 _IGNORABLE = re.compile(f"[{IGNORABLE}]")
+_FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(FOLD)) + "]")
 #: Joiners that shape what is displayed, between letters of joining or Indic scripts and within emoji; a
 #: soft hyphen at a line's end, which is displayed.
 _SHAPING = re.compile("(?<=[؀-ۿ܀-ݏऀ-෿က-႟ក-៿])[‌‍]+(?=[؀-ۿ܀-ݏऀ-෿က-႟ក-៿])|(?<=[←-⯿️\U0001f000-\U0001faff])‍(?=[←-⯿\U0001f000-\U0001faff])|­(?=[ \t]*(?:\r?\n|\x0c|$))")
@@ -133,7 +134,8 @@ def fold(text: str) -> str:
     """
     if not _SPECIAL.search(text):
         return text
-    text = text.translate(FOLD)
+    if _FOLDED.search(text):
+        text = text.translate(FOLD)
     if _IGNORABLE.search(text):
         kept = _SHAPING.sub(lambda m: m[0].translate({0x200C: "\ue00c", 0x200D: "\ue00d", 0xAD: "\ue0ad"}), text)
         text = _IGNORABLE.sub("", kept).translate({0xE00C: "\u200c", 0xE00D: "\u200d", 0xE0AD: "-"})

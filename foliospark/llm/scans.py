@@ -33,7 +33,7 @@ _OPEN_WORD = re.compile(r"(?<=\s)[(!](?=[a-zß-öø-ÿα-ώа-я])[^\W_]+(?:[!(]
 _OPEN = re.compile(r"\s[(!][a-zß-öø-ÿα-ώа-я]")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _HANGING = re.compile(r"[^\W\d_]- ([^\W\d_]+)")
-_NUMBER_LINE = re.compile(r"^([^\W\d_]{3,12} \d{1,4}(?: [^\W\d_]{2,4} \d{1,4})?)$", re.MULTILINE)
+_NUMBER_LINE = re.compile(r"\n([^\W\d_]{3,12} \d{1,4}(?: [^\W\d_]{2,4} \d{1,4})?)(?=\n)")
 _CODE = re.compile(r"[A-Z0-9]*\d[A-Z0-9]*|[^\W\d_a-zß-öø-ÿα-ώа-яё]+|\d+[a-z]{0,3}|[a-z]{1,3}\d+")
 _CAPITALS = re.compile(r"(?!.*SS)[A-Z][A-Z]{1,}\d?[A-Z]{3,}")
 _LEFT, _RIGHT = re.compile(r"[^\W\d_]+$"), re.compile(r"\s*([^\W\d_]+)")
@@ -96,11 +96,21 @@ class Reader:
     pages: Pages
     common: frozenset[str] = frozenset()
 
+    def __post_init__(self) -> None:
+        self.known: set[str] = set()  # words as they stand that need no look, kept up to a bound
+
     def __call__(self, text: str) -> tuple[list[pg.Line], list[tuple[int, int, Break]], set[str]]:
         """Of a canonical text the possible furniture, the marks at line ends, and its words outside ``common`` as they stand."""
         lines = self.pages(text)
         found = list(breaks(text, (x.at for x in lines if x.score > 0))) if _LINE_MARK.search(text) else []
-        words = {w for w in words_of(text) if len(w) > 2 and w.lower() not in self.common and plain(w) is not None}
+        words = set()
+        if len(self.known) > 300_000:
+            self.known.clear()
+        for w in words_of(text) - self.known:
+            if len(w) < 3 or w.lower() in self.common or plain(w) is None:
+                self.known.add(w)
+            else:
+                words.add(w)
         if found:  # the parts of words that furniture keeps apart are no words
             words -= {part for _, j, b in found for part in (b.left, b.right)}
         return lines, found, words
@@ -185,9 +195,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw.update(words_of(text))
             if "-" in text:
                 counts.update({c.lower() for part in text.split() if "-" in part for c in _COMPOUND.findall(part)})
-                counts.update({f"- {w.lower()}" for w in _HANGING.findall(text)})
+                if "- " in text:
+                    counts.update({f"- {w.lower()}" for w in _HANGING.findall(text)})
             worded: dict[str, list[str]] = {}
-            for line in _NUMBER_LINE.findall(text):
+            for line in _NUMBER_LINE.findall(f"\n{text}\n"):
                 if line[0].isupper() and (w := pg.number_word(line)):
                     worded.setdefault(w, []).append(line)
             for w, own in worded.items():
