@@ -28,6 +28,10 @@ class Parameters:
             raise ValueError("need k1 > 0, 0 <= b <= 1 and epsilon >= 0")
 
 
+#: Columns of a window of the index.
+CHUNK = ("document_id", "chunk", "length")
+
+
 @dataclass(frozen=True)
 class Index:
     """postings (term, document_id, chunk, tf and the chunk's length and its page's chunks), chunks (document_id, chunk, length), terms (term, df, idf), totals (n, average)."""
@@ -61,20 +65,33 @@ def build(documents: DataFrame, max_words: int = 256, overlap: int = 32, paramet
     written once to the shared folder, as an index is, and everything else is read from them.  Inverse frequencies are over
     chunks, and a negative one is replaced by ``epsilon`` times the mean of all.
     """
+    base = written(chunk_tokens(documents, max_words, overlap, plain))
+    return index_of(base.select(*CHUNK), written(postings_of(base)), parameters, plain)
+
+
+def chunk_tokens(documents: DataFrame, max_words: int, overlap: int, plain: bool) -> DataFrame:
+    """The windows of documents with their tokens: document_id, chunk, chunks, length, tokens."""
     windows = chunk_windows(spread(documents.select("document_id", "text")), "text", max_words, overlap, chunks="chunks")
     joined = F.array_join("words", " ")
     tokens = windows.select("document_id", "chunk", "chunks", (tokenize_plain(joined) if plain else tokenize(joined)).alias("tokens"))
-    base = written(tokens.withColumn("length", F.size("tokens")))
-    lengths = base.select("document_id", "chunk", "length")
+    return tokens.select("document_id", "chunk", "chunks", F.size("tokens").alias("length"), "tokens")
+
+
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """How often each term stands in each window, with the window's length and the number of its page's windows."""
     keys = ["term", "document_id", "chunk", "chunks", "length"]
-    postings = written(base.select(F.explode("tokens").alias("term"), *keys[1:]).groupBy(*keys).agg(F.count(F.lit(1)).alias("tf")))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
+    return tokens.select(F.explode("tokens").alias("term"), *keys[1:]).groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def index_of(chunks: DataFrame, postings: DataFrame, parameters: Parameters = Parameters(), plain: bool = False) -> Index:
+    """An index over stored windows (document_id, chunk, length) and postings, whose terms are counted and written now."""
+    totals = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = totals.select("n").scalar()
     raw = df.select("term", "df", (F.log(size - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(parameters.epsilon) * mean).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, written(terms), totals, parameters, plain)
+    return Index(postings, chunks, written(terms), totals, parameters, plain)
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:

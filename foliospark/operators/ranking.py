@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.numeric import is_finite
+from foliospark.session import numbered_within
 
 
 def check_k(k: int) -> int:
@@ -20,12 +21,15 @@ def check_k(k: int) -> int:
 def rank_scores(scores: DataFrame, groups: tuple[str, ...] = ("query_id",), score: str = "score", item: str = "document_id", k: int | None = None) -> DataFrame:
     """``scores`` with ``rank`` (from 1): score descending, then item descending by code point.
 
-    With ``k`` only the first k of each group come out, and Spark limits the groups before the shuffle.
+    With ``k`` only the first k of each group come out, and Spark limits the groups before the shuffle.  A complete
+    ranking is range-partitioned, so that a query with most of the rows is many tasks.
     Rows with a score that isn't finite are left out; validate first to reject them.
     """
-    order = Window.partitionBy(*groups).orderBy(F.desc(score), F.desc(item))
-    ranked = scores.where(is_finite(F.col(score))).withColumn("rank", F.row_number().over(order))
-    return ranked if k is None else ranked.where(F.col("rank") <= check_k(k))
+    finite, order = scores.where(is_finite(F.col(score))), [F.desc(score), F.desc(item)]
+    if k is None:
+        return numbered_within(finite, list(groups), order, "rank").withColumn("rank", F.col("rank").cast("int"))
+    ranked = finite.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    return ranked.where(F.col("rank") <= check_k(k))
 
 
 def top_lists(ranked: DataFrame, k: int, groups: tuple[str, ...] = ("query_id",), item: str = "document_id") -> DataFrame:

@@ -409,7 +409,7 @@ def score_violations(spark: SparkSession, sf: str) -> DataFrame:
 def incomplete_rankings(spark: SparkSession, sf: str) -> DataFrame:
     """Rankings that don't hold the whole corpus."""
     size = table(spark, sf, "corpus").count()
-    return ranking.incomplete(ranking.rank_scores(_best_scores(spark, sf), ("scorer", "query_id")), size, ("scorer", "query_id"))
+    return ranking.incomplete(_best_scores(spark, sf), size, ("scorer", "query_id"))
 
 
 @query(f"""WITH {_BEST} SELECT count(*) AS pairs, round(max(abs(a.score - e.score)), 6) AS max_absolute_error, round(max(abs(a.score - e.score) / greatest(abs(e.score), 1e-12)), 4) AS max_relative_error, bool_and(isfinite(a.score) AND isfinite(e.score)) AS all_finite, bool_and(abs(a.score - e.score) <= 0.5::DOUBLE + 0.1::DOUBLE * abs(e.score)) AS all_close

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,25 @@ def numbered(df: DataFrame, item: str, number: str) -> DataFrame:
     return parts.withColumn("place_in_part", place).join(F.broadcast(starts), "part").select(*own, (F.col("start") + F.col("place_in_part")).alias(number))
 
 
+def numbered_within(df: DataFrame, groups: list[str], order: list[Column], number: str) -> DataFrame:
+    """``df`` with each row's place in its group from 1 on, in ``order``, which must tell the rows of a group apart.
+
+    Rows are range-partitioned by group and order, numbered in their part, and begin where the parts before end, so
+    a group that holds most rows is many tasks.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = checkpointed(df.repartitionByRange(partitions, *groups, *order).withColumn("part_of_range", F.spark_partition_id()))
+    keys = [F.col(g).alias(f"group_{i}") for i, g in enumerate(groups)]
+    counts = parts.groupBy(*keys, F.col("part_of_range").alias("part_")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*[f"group_{i}" for i in range(len(groups))]).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start_of_part", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    placed = parts.withColumn("place_in_part", F.row_number().over(Window.partitionBy(*groups, "part_of_range").orderBy(*order)))
+    same = F.col("part_of_range") == F.col("part_")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"group_{i}"))
+    return placed.join(starts, same).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("start_of_part") + F.col("place_in_part")).alias(number))
+
+
 #: Tables that ``written`` has made in this process and that nothing has deleted yet.
 _KEPT: list[str] = []
 

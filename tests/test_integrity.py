@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import fingerprints, subset, validate
+from foliospark.operators import bm25, fingerprints, subset, validate
 from foliospark.sources import datasets, files
 from foliospark.streaming import ingest
 
@@ -170,7 +170,11 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     ingest.ingest(spark, source, target, state).awaitTermination()
     spark.createDataFrame([("3", "b")], "document_id string, text string").write.mode("append").parquet(source)
     ingest.ingest(spark, source, target, state).awaitTermination()
-    assert {(r["document_id"], r["term"], r["tf"]) for r in spark.read.parquet(target).collect()} == {("1", "a", 2), ("1", "b", 1), ("3", "b", 1)}
+    assert {(r["document_id"], r["term"], r["tf"]) for r in spark.read.parquet(f"{target}/postings").collect()} == {("1", "a", 2), ("1", "b", 1), ("3", "b", 1)}
+    asked = spark.createDataFrame([("q", "a b"), ("r", "b")], "query_id string, text string")
+    whole = bm25.build(spark.read.parquet(source), plain=True)
+    scores = lambda index: {(r[0], r[1], round(r[2], 9)) for r in bm25.scores(index, asked).collect()}
+    assert scores(ingest.opened(spark, target)) == scores(whole) and len(scores(whole)) == 4
 
 
 def test_entry_points_agree():

@@ -66,3 +66,15 @@ def test_top_n_limits_groups_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("cast(id % 7 as string) query_id", "cast(id as string) document_id", "cast(id as double) score")
     plan = ranking.rank_scores(df, k=2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_complete_ranking_of_a_hot_query_is_many_tasks(spark):
+    rows = [("hot", str(i), float(i % 7)) for i in range(3000)] + [("cold", str(i), 1.0) for i in range(20)] + [(None, "x", 1.0), ("nan", "x", float("nan"))]
+    df = spark.createDataFrame(rows, "query_id string, document_id string, score double").repartition(5)
+    found = {(r["query_id"], r["document_id"]): r["rank"] for r in ranking.rank_scores(df).collect()}
+    for q in ("hot", "cold", None):
+        own = sorted(((s, d) for x, d, s in rows if x == q), reverse=True)
+        assert [found[q, d] for _, d in own] == list(range(1, len(own) + 1))
+    assert len(found) == 3021 and ranking.rank_scores(df.where("false")).collect() == []
+    parts = ranking.rank_scores(df.where("query_id = 'hot'")).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
