@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 from decimal import Decimal, getcontext
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.session import bounded_rows, checkpointed
+from foliospark.session import bounded_rows, checkpointed, numbered_within
 
 getcontext().prec = 60
 GOLDEN = (Decimal(5).sqrt() - 1) / 2
@@ -52,20 +52,12 @@ def numbered(items: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     With ``taken`` (stratum, most) numbers go on from the greatest taken one.  An item whose arrival isn't known has
     no place in that order; its number is drawn from its hash, so that it moves no other item and none moves it.
 
-    The order is made by a range partitioning of all items, whose parts are numbered each and begin where the
-    ones before end, so that a stratum that holds most items is many tasks.
+    The order is made by a range partitioning of all items, so that a stratum that holds most items is many tasks.
     """
-    known = items.where("arrival is not null")
-    order = ["stratum", "arrival", "then", "sign", "item"]
-    partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = checkpointed(known.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()))
-    counts = parts.groupBy("stratum", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("stratum").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("stratum", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = [F.col(c) for c in ("arrival", "then", "sign", "item")]
+    placed = numbered_within(items.where("arrival is not null"), ["stratum"], order, "number")
     if taken is not None:
-        starts = starts.join(taken, "stratum", "left").withColumn("start", F.col("start") + F.coalesce("most", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("stratum", "part").orderBy(*order[1:]))
-    placed = parts.withColumn("place", place).join(starts, ["stratum", "part"]).withColumn("number", F.col("start") + F.col("place"))
+        placed = placed.join(taken, "stratum", "left").withColumn("number", F.col("number") + F.coalesce("most", F.lit(0)))
     drawn = items.where("arrival is null").withColumn("number", F.conv(F.substring("sign", 1, 12), 16, 10).cast("bigint"))
     columns = ["stratum", "item", "arrival", "number"]
     return placed.select(*columns).unionByName(drawn.select(*columns))
