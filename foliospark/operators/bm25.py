@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.numeric import safe_divide
 from foliospark.functions.text import chunk_windows, tokenize, tokenize_plain
+from foliospark.operators.blocks import CELLS, SCHEMA, over_blocks, scored
 from foliospark.session import exists, spread, written
 
 
@@ -34,7 +40,7 @@ CHUNK = ("document_id", "chunk", "length")
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, document_id, chunk, tf and the chunk's length and its page's chunks), chunks (document_id, chunk, length), terms (term, df, idf), totals (n, average)."""
+    """postings (term, document_id, chunk, tf and the chunk's length and its page's chunks), chunks (document_id, chunk, length), terms (term, df, idf), totals (n, average), windows (document_id, chunk, length and the tokens)."""
 
     postings: DataFrame
     chunks: DataFrame
@@ -42,6 +48,7 @@ class Index:
     totals: DataFrame
     parameters: Parameters
     plain: bool
+    windows: DataFrame
 
     def stands(self) -> bool:
         """Whether the written tables are still there."""
@@ -66,7 +73,7 @@ def build(documents: DataFrame, max_words: int = 256, overlap: int = 32, paramet
     chunks, and a negative one is replaced by ``epsilon`` times the mean of all.
     """
     base = written(chunk_tokens(documents, max_words, overlap, plain))
-    return index_of(base.select(*CHUNK), written(postings_of(base)), parameters, plain)
+    return index_of(base, written(postings_of(base)), parameters, plain)
 
 
 def chunk_tokens(documents: DataFrame, max_words: int, overlap: int, plain: bool) -> DataFrame:
@@ -83,15 +90,16 @@ def postings_of(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode("tokens").alias("term"), *keys[1:]).groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index_of(chunks: DataFrame, postings: DataFrame, parameters: Parameters = Parameters(), plain: bool = False) -> Index:
-    """An index over stored windows (document_id, chunk, length) and postings, whose terms are counted and written now."""
+def index_of(windows: DataFrame, postings: DataFrame, parameters: Parameters = Parameters(), plain: bool = False) -> Index:
+    """An index over stored windows (``chunk_tokens``) and postings, whose terms are counted and written now."""
+    chunks = windows.select(*CHUNK)
     totals = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = totals.select("n").scalar()
     raw = df.select("term", "df", (F.log(size - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(parameters.epsilon) * mean).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, chunks, written(terms), totals, parameters, plain)
+    return Index(postings, chunks, written(terms), totals, parameters, plain, windows.select(*CHUNK, "tokens"))
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
@@ -114,3 +122,68 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     # No chunk, no score: a page comes out only with a chunk that matches, so a maximum is never over nothing.
     score = F.when(F.col("matching") < F.col("chunks"), F.greatest("score", F.lit(0.0))).otherwise(F.col("score"))
     return best.select("query_id", "document_id", score.alias("score"))
+
+
+#: Terms of a block of queries.
+BLOCK_TERMS = 2_048
+
+
+def top_k(index: Index, queries: DataFrame, k: int, digits: int | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """The best k pages of each stated query, pages without a match included: query_id, document_id, score.
+
+    Every page with a window has a score, its best window's, 0 where no term matches; ties go to the greater id.
+    Queries travel in blocks of at most ``block_terms`` terms (or one query); windows stay where they are, and
+    a batch of them is scored by one product of its term weights with the queries' inverse frequencies.  A
+    task gives only its best k of each query.  With ``digits`` scores are rounded before they are compared.
+    Null ids and null queries are left out; a query without known terms has the k greatest ids.
+    """
+    p, totals = index.parameters, index.totals.first()
+    words = queries.where("query_id is not null and text is not null").select("query_id", F.explode_outer(index.tokens(F.col("text"))).alias("term"))
+    asked = words.groupBy("query_id", "term").agg(F.count("term").alias("times")).join(index.terms.select("term", "idf"), "term", "left")
+    each = asked.groupBy("query_id").agg(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("times") * F.col("idf")).alias("weight")))).alias("terms"))
+
+    def blocks() -> Iterator[list]:
+        block, size = [], 0
+        for row in each.orderBy("query_id").toLocalIterator():
+            if block and size + len(row["terms"]) > block_terms:
+                yield block
+                block, size = [], 0
+            block.append((row["query_id"], [(t["term"], t["weight"]) for t in row["terms"]]))
+            size += len(row["terms"])
+        yield block
+
+    def score(block: list) -> DataFrame:
+        names = [q for q, _ in block]
+        terms = sorted({t for _, own in block for t, _ in own})
+        place = {t: i for i, t in enumerate(terms)}
+        weights = np.zeros((len(names), len(terms)))
+        for i, (_, own) in enumerate(block):
+            for t, w in own:
+                weights[i, place[t]] += w
+        average = totals["average"] or 1.0
+
+        def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            known = pa.array(terms, pa.string())
+            step = max(1, CELLS // max(len(terms), len(names), 1))
+            for batch in batches:
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
+                    lists = part.column(2)
+                    counts = np.diff(lists.offsets.to_numpy())
+                    codes = pc.index_in(lists.flatten(), known)
+                    owner = np.repeat(np.arange(part.num_rows), counts)
+                    there = codes.is_valid().to_numpy(zero_copy_only=False)
+                    cells = owner[there] * len(terms) + codes.drop_null().to_numpy(zero_copy_only=False)
+                    tf = np.bincount(cells, minlength=part.num_rows * len(terms)).reshape(part.num_rows, len(terms)).astype(np.float64)
+                    length = part.column(1).to_numpy(zero_copy_only=False)[:, None]
+                    found = np.divide(tf * (p.k1 + 1), tf + p.k1 * (1 - p.b + p.b * length / average), out=np.zeros_like(tf), where=tf > 0) @ weights.T
+                    pages, at = np.unique(np.array(part.column(0).to_pylist(), dtype=object), return_inverse=True)
+                    order = np.argsort(at, kind="stable")
+                    best = np.maximum.reduceat(found[order], np.flatnonzero(np.diff(at[order], prepend=-1)), axis=0)
+                    yield pages, best.T
+
+        rows = index.windows.where("document_id is not null").select("document_id", "length", "tokens")
+        return rows.mapInArrow(lambda batches: scored(names, matrices(batches), k, digits), SCHEMA)
+
+    found = over_blocks(blocks(), score)
+    return found.groupBy("query_id", "document_id").agg(F.max("score").alias("score"))

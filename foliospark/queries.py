@@ -16,7 +16,6 @@ from foliospark.functions.text import prompt, tokenize_plain, words
 from foliospark.functions.vectors import finite, norm, normalized
 from foliospark.operators import bm25, dense, fingerprints, loss, maxsim, metrics, pooling, ranking, samples, subset, validate
 from foliospark.plans import reports
-from foliospark.plans.evaluation import top_k_padded
 from foliospark.session import checkpointed, numbered, table
 from foliospark.sources.images import load_subset, png_size
 
@@ -317,7 +316,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 @query(f"{_BM25_TOP} {_TOP}")
 def bm25_top5(spark: SparkSession, sf: str) -> DataFrame:
     """The five best pages of each stated query, pages without a match included."""
-    return top_k_padded(_bm25(spark, sf)[1], _asked(spark, sf), _pages(spark, sf).where("text is not null"), 5)
+    return ranking.rank_scores(bm25.top_k(_index(spark, sf), _asked(spark, sf), 5, digits=4), k=5)
 
 
 @query(f"{_BM25_TOP}, {_JUDGED}, {_metrics_sql('ranked', 5)}")

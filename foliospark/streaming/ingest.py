@@ -34,4 +34,4 @@ def ingest(spark: SparkSession, path: str, target: str, checkpoint: str, max_wor
 def opened(spark: SparkSession, target: str, parameters: bm25.Parameters = bm25.Parameters()) -> bm25.Index:
     """The index that ``ingest`` keeps, as it stands now."""
     read = lambda what: spark.read.parquet(f"{target}/{what}").drop("batch")
-    return bm25.index_of(read("chunks").select(*bm25.CHUNK), read("postings"), parameters, plain=True)
+    return bm25.index_of(read("chunks"), read("postings"), parameters, plain=True)

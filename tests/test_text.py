@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text
-from foliospark.operators import bm25
+from foliospark.operators import bm25, ranking
 from foliospark.plans.evaluation import Bm25Index, evaluate, top_k_padded
 
 
@@ -91,6 +91,22 @@ def test_padded_ranking_and_evaluation(spark):
     assert found["mrr_at_3"] == 1 and found["queries"] == 1
 
 
+def test_top_k_of_blocks_is_that_of_the_postings(spark):
+    import random
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices("ab cd ef gh ij kl mn op".split(), k=rnd.randrange(0, 30))) for _ in range(60)] + ["", "zz " * 9]
+    docs = spark.createDataFrame([(f"d{i:02}", t) for i, t in enumerate(texts)] + [("null", None), (None, "ab")], "document_id string, text string").repartition(3)
+    queries = spark.createDataFrame([("q1", "ab cd ab"), ("q2", "zz"), ("q3", "unknown"), ("q4", ""), ("q5", None), (None, "ab"), ("q6", "kl mn op gh")], "query_id string, text string")
+    index = bm25.build(docs.where("document_id is not null"), 8, 2, plain=True)
+    known = queries.where("query_id is not null and text is not null")
+    best = lambda df: {(r["query_id"], r["document_id"], r["score"], r["rank"]) for r in df.collect()}
+    expected = best(top_k_padded(bm25.scores(index, known).withColumn("score", F.round("score", 6)), known, docs.where("text is not null and document_id is not null"), 4))
+    for terms in (1, 5, 2048):
+        assert best(ranking.rank_scores(bm25.top_k(index, queries, 4, digits=6, block_terms=terms), k=4)) == expected
+    assert len(expected) == 20 and bm25.top_k(index, queries.where("false"), 4).collect() == []
+
+
 def test_padding_before_matches_below_zero(spark):
     docs = spark.createDataFrame([(f"d{i}",) for i in range(9)] + [(None,), ("d8",)], "document_id string")
     queries = spark.createDataFrame([("q",), ("none",), ("p",), (None,)], "query_id string")
