@@ -19,8 +19,9 @@ def norm(a: Column) -> Column:
 
 def normalized(a: Column, eps: float = 0.0) -> Column:
     """The vector divided by its length (by ``eps`` at least); a zero vector stays zero."""
-    length = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+    # The length is bound once, in an array of one, and not taken anew for every number.
+    scaled = F.transform(F.array(F.greatest(norm(a), F.lit(eps))), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+    return F.get(scaled, F.lit(0))
 
 
 def finite(a: Column) -> Column:
