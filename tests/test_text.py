@@ -107,6 +107,51 @@ def test_top_k_of_blocks_is_that_of_the_postings(spark):
     assert len(expected) == 20 and bm25.top_k(index, queries.where("false"), 4).collect() == []
 
 
+def shuffled(spark):
+    """Rows that all stages of the session have shuffled so far."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_scores_are_not_shuffled(spark):
+    pages = {f"p{i:03}": f"common shared word{i % 7} " * 3 + "filler " * (i % 9) for i in range(300)}
+    docs = spark.createDataFrame([*pages.items()], "document_id string, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i:02}", f"common shared word{i % 9}") for i in range(80)], "query_id string, text string")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = shuffled(spark)
+    found = bm25.scores(bm25.build(docs, 8, 2, plain=True), queries).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    # Each page holds a word of each query: what is shuffled grows with pages and with queries, not with their pairs.
+    assert found == 300 * 80 and shuffled(spark) - before < found / 4
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.25])
+def test_bm25_scores_of_blocks_of_queries(spark, monkeypatch, epsilon):
+    import random
+
+    rnd = random.Random(5)
+    # "x" stands in nearly all windows; some pages have many windows and some windows lack every term of a query.
+    pages = {f"p{i:02}": " ".join(rnd.choices(["x x", "ab", "cd", "ef", "gh", "zz zz zz zz zz zz zz zz"], [9, 1, 1, 1, 1, 1], k=rnd.randrange(0, 40))) for i in range(40)} | {"blank": "  "}
+    docs = spark.createDataFrame([*pages.items(), ("null", None)], "document_id string, text string").repartition(3)
+    queries = {"q1": "x", "q2": "x ab ab", "q3": "gh cd", "q4": "unknown", "q5": "", "q6": "zz ef unknown"}
+    asked = spark.createDataFrame([*queries.items(), ("q7", None), (None, "x")], "query_id string, text string")
+    index = bm25.build(docs, 6, 2, bm25.Parameters(epsilon=epsilon), plain=True)
+    known = {r["term"] for r in index.terms.collect()}
+    expected = {(q, page): s for q, t in queries.items() for page, s in loop(pages, t, 6, 2, 1.5, 0.75, epsilon).items() if {*t.split()} & {*pages[page].split()} & known}
+    assert len(expected) > 120 and (epsilon or any(s == 0 for s in expected.values()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # pages that go on in the next batch
+    try:
+        for pairs, cells in ((bm25.BLOCK_PAIRS, bm25.CELLS), (1, bm25.CELLS), (4, 8)):
+            monkeypatch.setattr(bm25, "CELLS", cells)
+            rows = bm25.scores(index, asked, block_pairs=pairs).collect()
+            assert len(rows) == len(expected) and {(r[0], r[1]): r[2] for r in rows} == pytest.approx(expected, rel=1e-12, abs=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert bm25.scores(index, asked.where("false")).collect() == []
+    assert {r[2] for r in bm25.scores(index, asked, digits=2).collect()} == {round(r[2], 2) for r in rows}
+
+
 def test_padding_before_matches_below_zero(spark):
     docs = spark.createDataFrame([(f"d{i}",) for i in range(9)] + [(None,), ("d8",)], "document_id string")
     queries = spark.createDataFrame([("q",), ("none",), ("p",), (None,)], "query_id string")
